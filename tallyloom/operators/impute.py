@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
+
 
 @dataclass(frozen=True)
 class Field:
@@ -119,11 +121,14 @@ def impute(
     """
     level_keys = [F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in g]) for g in groups]
     names = list(features)
-    stats = df.select(*[c.cast("double").alias(n) for n, c in features.items()]).agg(
-        *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]
+    needed = dict.fromkeys([key, *[c for g in groups for c in g], *[f.name for f in fields], *[f.where for f in fields if f.where]])
+    # The table is read four times below: by the moments, the group means, the fit and the matching.
+    df = durable(df.filter(F.col(key).isNotNull()).select(*needed, *[c.cast("double").alias(f"__x_{n}") for n, c in features.items()]))
+    stats = df.agg(
+        *[F.avg(f"__x_{n}").alias(f"m_{n}") for n in names], *[F.stddev_pop(f"__x_{n}").alias(f"s_{n}") for n in names]
     ).first()
     scaled = {
-        n: F.coalesce((features[n].cast("double") - F.lit(stats[f"m_{n}"])) / F.lit(stats[f"s_{n}"] or 1.0), F.lit(0.0))
+        n: F.coalesce((F.col(f"__x_{n}") - F.lit(stats[f"m_{n}"])) / F.lit(stats[f"s_{n}"] or 1.0), F.lit(0.0))
         for n in names
     }
     value = lambda f: F.when(f.legal(F.col(f.name).cast("double")), F.col(f.name).cast("double"))
