@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, neighbours, sampling
+from tallyloom.llm import leakage, mixing, neighbours, sampling
 from tallyloom.sources.tables import current_rows, table
 
 PATH = ["motivation", "capability", "cue", "shtflu12m_a"]
@@ -59,6 +59,25 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(pool, quotas, PATH, "source_row_index")
 
 
+# Problem 6
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter("edits = 0").select("item_id", "doc_id").distinct()
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_leaks(spark, d))
+
+
 # Problem 7
 
 
@@ -80,7 +99,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(planned, mixing.draw(sizes, planned))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p7_found, p7_sample, p7_report)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report)}
 
 SQL = {
     "p4_found": """
