@@ -260,8 +260,10 @@ def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Lear
     sizes = n_base.join(n_query, "node")
     block = lambda n: F.pmod(F.xxhash64(F.lit(opt.seed), "vec_id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    b = base.join(sizes, "node").select("node", spread("nq").alias("qb"), block("nb").alias("bb"), "vec_id", "v")
-    q = query.join(sizes, "node").select("node", block("nq").alias("qb"), spread("nb").alias("bb"), "matrix_name", "vec_id", "v")
+    # Where nothing was divided both sides are the same rows; fresh names keep their columns apart.
+    own = lambda *names: [F.col(c).alias(c) for c in names]
+    b = base.join(sizes, "node").select(spread("nq").alias("qb"), block("nb").alias("bb"), *own("node", "vec_id", "v"))
+    q = query.join(sizes, "node").select(block("nq").alias("qb"), spread("nb").alias("bb"), *own("node", "matrix_name", "vec_id", "v"))
     at = ["node", "qb", "bb"]
     found = q.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(_search_udf(k, limits, opt), "matrix_name string, vec_id long, other_id long, cosine double")
     # Copies beyond the indexed ones: the first k of their group.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import leakage, mixing, neighbours, sampling
+from tallyloom.llm import leakage, mixing, neighbours, sampling, truncation
 from tallyloom.sources.tables import current_rows, table
 
 PATH = ["motivation", "capability", "cue", "shtflu12m_a"]
@@ -59,6 +59,34 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(pool, quotas, PATH, "source_row_index")
 
 
+# Problem 5
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """The three text fields as one table; the source of a text is its model."""
+    c, m = table(spark, d, "call_log"), table(spark, d, "memory_items")
+    pick = lambda df, name, key, field: df.select(
+        F.lit(name).alias("src_table"), F.col(key).alias("row_id"), F.lit(field).alias("field_name"), F.col("model").alias("source"), F.col(field).alias("value")
+    )
+    return (
+        pick(c, "call_log", "call_id", "reason")
+        .unionByName(pick(m, "memory_items", "memory_id", "correction_rule"))
+        .unionByName(pick(m, "memory_items", "memory_id", "residual_factor"))
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_values(_values(spark, d)).filter("cut").select("src_table", "row_id", "field_name").distinct()
+
+
+def p5_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_values(_values(spark, d)).filter("cut")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.cut_values(_values(spark, d))).withColumnRenamed("source", "model")
+
+
 # Problem 6
 
 
@@ -99,7 +127,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(planned, mixing.draw(sizes, planned))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report)}
 
 SQL = {
     "p4_found": """
