@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import leakage, mixing, neighbours, sampling, truncation
+from tallyloom.llm import language, leakage, mixing, neighbours, sampling, truncation
 from tallyloom.sources.tables import current_rows, table
 
 PATH = ["motivation", "capability", "cue", "shtflu12m_a"]
@@ -127,7 +127,24 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(planned, mixing.draw(sizes, planned))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report)}
+# Problem 8
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(spark, table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_segments(spark, d).filter("of_document and needs_label").select("doc_id", "lang_code").distinct()
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of every document, with confidence."""
+    s = p8_segments(spark, d).filter("of_document")
+    return s.groupBy("doc_id", "lang_code").agg(F.max("document_confidence").alias("confidence"), F.sum("n_sentences").alias("n_sentences"), F.max("needs_label").alias("needs_label"))
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p8_found, p8_segments, p8_labels)}
 
 SQL = {
     "p4_found": """
