@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.durable import durable
 from tallyloom.llm import language, leakage, mixing, neighbours, sampling, truncation
 from tallyloom.sources.tables import current_rows, table
 
@@ -110,7 +111,8 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixing.token_sizes(table(spark, d, "documents"))
+    # Sizes are summed by source and in total, and drawn from: texts are tokenised once.
+    sizes = durable(mixing.token_sizes(table(spark, d, "documents")))
     return sizes, mixing.plan(sizes, table(spark, d, "mix_targets"))
 
 
