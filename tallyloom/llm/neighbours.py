@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
+
 
 @dataclass(frozen=True)
 class Learned:
@@ -229,7 +231,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Lear
     k = max([v[0] for v in spec.values()], default=1)
     limits = {m: v[1] for m, v in spec.items()} if only_similar else {}
     copies = Window.partitionBy("matrix_name", "v").orderBy("vec_id")
-    ranked = valid_vectors(vectors, specs).withColumn("copy", F.row_number().over(copies))
+    # Read at every level below: by counts, samples and routing.
+    ranked = durable(valid_vectors(vectors, specs).withColumn("copy", F.row_number().over(copies)))
     index = ranked.filter(F.col("copy") <= k + 1).select("matrix_name", "vec_id", "v", F.col("matrix_name").alias("node"))
     base = query = index
     frontier: dict[str, int] = {}
@@ -253,8 +256,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Lear
             raise ValueError(f"the models of level {level} have {total} bytes; raise Learned.rows or Learned.leaf")
         models = spark.sparkContext.broadcast({r["node"]: bytes(r["model"]) for r in fitted})
         schema = "matrix_name string, vec_id long, v array<float>, node string"
-        base = base.mapInPandas(_route_udf(models, opt, 1), schema)
-        query = query.mapInPandas(_route_udf(models, opt, opt.probes), schema)
+        base = durable(base.mapInPandas(_route_udf(models, opt, 1), schema))
+        query = durable(query.mapInPandas(_route_udf(models, opt, opt.probes), schema))
     n_base = base.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nb"))
     n_query = query.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nq"))
     sizes = n_base.join(n_query, "node")
