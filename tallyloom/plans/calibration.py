@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import recode as R
+from tallyloom.functions.durable import durable
 from tallyloom.functions import text as X
 from tallyloom.operators import memory, metrics, patterns, retrieval, scores, splits, stats
 from tallyloom.sources.tables import current_rows, nan_to_null, table
@@ -76,7 +77,8 @@ def split_scores(spark: SparkSession, d: str) -> DataFrame:
     cols = ["source_row_index", "vaccinated", "survey_weight", "motivation_score", "capability_score", "activation_score", *scores.PROXIES["v4"]]
     s = current_rows(table(spark, d, "hbm_scores").select(*cols, "scored_at"), "source_row_index", F.col("scored_at").desc_nulls_last())
     s = nan_to_null(s.drop("scored_at")).filter(F.col("vaccinated").isin(0.0, 1.0))
-    return splits.three_way(s, ["vaccinated"], "source_row_index")
+    # Fitted state must come from one fixed split: it is stored before anything is fitted on it.
+    return durable(splits.three_way(s, ["vaccinated"], "source_row_index"))
 
 
 def profiled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
