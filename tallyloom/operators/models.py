@@ -102,26 +102,41 @@ def fit_reward(df: DataFrame, y: str, anchor: str, patterns: Sequence[str], name
                weight: str | None = None, steps: int = 60, rate: float = 0.05, ridge_pattern: float = 0.05, ridge_global: float = 0.01, patience: int = 15) -> Reward:
     """logit(p) = logit(anchor) + weights of the pattern . (x - mean of the pattern), by Adam.
 
-    Each step sums, per pattern, the loss and its derivative in every construct in one aggregate
-    over a checkpointed table, so 8 x 6 numbers come to the driver.
+    Each step, the partitions sum loss and derivatives per pattern in numpy, so 8 x 6 numbers a
+    partition are added up and come to the driver. Missing constructs are 0.5.
     """
-    x = {n: F.coalesce(F.col(n).cast("double"), F.lit(0.5)) for n in names}
-    rows = df.filter(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(pattern).alias("p"), logit(F.col(anchor)).alias("a"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[c.alias(n) for n, c in x.items()])
+    n_x, n_p = len(names), len(patterns)
+    x = [F.coalesce(F.col(n).cast("double"), F.lit(0.5)) for n in names]
+    place = F.array_position(F.array(*map(F.lit, patterns)), F.col(pattern)) - 1
+    w_col = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    rows = df.filter(F.col(y).isNotNull() & (place >= 0)).select(place.cast("int").alias("p"), F.col(y).cast("double").alias("y"), logit(F.col(anchor)).alias("a"), w_col.alias("w"), *[c.alias(n) for n, c in zip(names, x)])
     rows = durable(rows)
-    stat = {r["p"]: r for r in rows.groupBy("p").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names]).collect()}
-    means = np.array([[stat[p][n] if p in stat else 0.5 for n in names] for p in patterns])
-    total = float(rows.agg(F.sum("w")).first()[0] or 1.0)
-    model = Reward(list(patterns), np.zeros(len(names)), np.zeros((len(patterns), len(names))), means, [])
+    stat = {r["p"]: r for r in rows.groupBy("p").agg(F.sum("w").alias("w"), *[F.avg(n).alias(n) for n in names]).collect()}
+    means = np.array([[stat[k][n] if k in stat else 0.5 for n in names] for k in range(n_p)])
+    total = sum(r["w"] for r in stat.values()) or 1.0
+    model = Reward(list(patterns), np.zeros(n_x), np.zeros((n_p, n_x)), means, [])
     best, stale, mom, var = None, 0, None, None
     for step in range(1, steps + 1):
-        z = F.col("a") + sum(model.contributions(names, "p"), F.lit(0.0))
-        q = sigmoid(z)
-        loss = F.col("w") * (F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z))))
-        cen = [F.col(n) - sum((F.when(F.col("p") == p, float(means[k, i])).otherwise(0.0) for k, p in enumerate(patterns)), F.lit(0.0)) for i, n in enumerate(names)]
-        got = {r["p"]: r for r in rows.groupBy("p").agg(F.sum(loss).alias("loss"), *[F.sum(F.col("w") * (q - F.col("y")) * c).alias(n) for n, c in zip(names, cen)]).collect()}
-        d = np.array([[got[p][n] if p in got else 0.0 for n in names] for p in patterns]) / total
+        eff = model.weights
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = np.zeros((n_p, n_x + 1))
+            for b in batches:
+                k = b["p"].to_numpy()
+                c = b[list(names)].to_numpy() - means[k]
+                z = b["a"].to_numpy() + (eff[k] * c).sum(1)
+                loss = b["w"].to_numpy() * (np.maximum(z, 0) - z * b["y"].to_numpy() + np.log1p(np.exp(-np.abs(z))))
+                d = b["w"].to_numpy() * (1 / (1 + np.exp(-z)) - b["y"].to_numpy())
+                np.add.at(acc, k, np.column_stack([loss, d[:, None] * c]))
+            yield pd.DataFrame({"i": np.arange(acc.size), "v": acc.ravel()})
+
+        got = np.zeros(n_p * (n_x + 1))
+        for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            got[r["i"]] = r["v"]
+        got = got.reshape(n_p, n_x + 1)
+        d = got[:, 1:] / total
         soft, mult, t = np.log1p(np.exp(model.g)), np.exp(0.45 * np.tanh(model.m)), np.tanh(model.m)
-        value = sum(r["loss"] for r in got.values()) / total + ridge_pattern * np.mean(model.m**2) + ridge_global * np.mean(model.g**2)
+        value = got[:, 0].sum() / total + ridge_pattern * np.mean(model.m**2) + ridge_global * np.mean(model.g**2)
         model.losses.append(float(value))
         if best is None or value < best[0] - 1e-6:
             best, stale = (value, model.g.copy(), model.m.copy()), 0
