@@ -127,7 +127,7 @@ def confidence(c: Column, default: float = 0.5) -> Column:
     """A confidence as a fraction: percentages are divided by 100, the result lies in 0 to 1."""
     raw = F.regexp_replace(F.trim(c), "%$", "").try_cast("double")
     x = F.when(F.trim(c).endswith("%") | (raw > 1), raw / 100).otherwise(raw)
-    return F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(float(default)))
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(float(default)))
 
 
 def boolean(c: Column) -> Column:

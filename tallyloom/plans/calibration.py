@@ -390,9 +390,10 @@ def q_sweep(spark, d):
     return rounded(metrics.sweep(answered(spark, d), "actual", "probability_yes", 1, 99, by=["model"]).select("model", "threshold", "accuracy", "balanced_accuracy", "f1"))
 
 
-@query(f"""WITH {_sweep_sql(1, 99)}, b AS (SELECT *, max(balanced_accuracy) OVER (PARTITION BY model) AS top FROM z)
-    SELECT model, CAST(t AS INT) AS threshold, round(balanced_accuracy, 6) AS metric_value FROM b WHERE abs(balanced_accuracy - top) <= 1e-8 + 1e-5 * abs(top)
-    QUALIFY row_number() OVER (PARTITION BY model ORDER BY abs(t - 50), t) = 1""")
+@query(f"""WITH {_sweep_sql(1, 99)}, b AS (SELECT *, max(balanced_accuracy) OVER (PARTITION BY model) AS top FROM z),
+    best AS (SELECT model, t, balanced_accuracy AS v FROM b WHERE abs(balanced_accuracy - top) <= 1e-8 + 1e-5 * abs(top) QUALIFY row_number() OVER (PARTITION BY model ORDER BY abs(t - 50), t) = 1),
+    few AS (SELECT model, count(*) < 10 OR min(actual) = max(actual) AS few FROM ok GROUP BY model)
+    SELECT model, CASE WHEN few THEN 50 ELSE CAST(t AS INT) END AS threshold, CASE WHEN NOT few THEN round(v, 6) END AS metric_value FROM best JOIN few USING (model)""")
 def q_threshold_a(spark, d):
     return rounded(metrics.best_threshold(answered(spark, d), "actual", "probability_yes", "a", by=["model"]))
 
