@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import recode as R
 from tallyloom.functions.durable import durable
 from tallyloom.functions import text as X
-from tallyloom.operators import memory, metrics, patterns, retrieval, scores, splits, stats
+from tallyloom.operators import memory, metrics, patterns, predictor, retrieval, scores, splits, stats
 from tallyloom.sources.tables import current_rows, nan_to_null, table
 
 QUERIES: dict = {}
@@ -120,7 +120,7 @@ def _map(c: str, codes: dict) -> str:
 
 
 AGE = "(CASE WHEN isnan(agep_a) OR agep_a IN (97, 98, 99) THEN NULL ELSE agep_a END)"
-MONTHS = "(CASE WHEN isnan(hinotmyr_a) OR hinotmyr_a IN (97, 98, 99) THEN NULL ELSE least(greatest(hinotmyr_a, 0), 12) END / 12)"
+MONTHS = "(CASE WHEN hinotmyr_a IS NULL OR isnan(hinotmyr_a) OR hinotmyr_a IN (97, 98, 99) THEN NULL ELSE least(greatest(hinotmyr_a, 0), 12) END / 12)"
 _CH = scores.CHRONIC
 COUNT = f"(CASE WHEN coalesce({', '.join(_yn(c) for c in _CH)}) IS NOT NULL THEN {' + '.join(f'coalesce({_yn(c)}, 0)' for c in _CH)} END)"
 _WELL = f"coalesce({_map('wellvis_a', {0: 0, 1: 1, 2: 0.65, 3: 0.4, 4: 0.2, 5: 0.05, 6: 0})}, {_yn('wellness_a')})"
@@ -206,7 +206,23 @@ def q_scores_v5(spark, d):
     return _scores(spark, d, "v5")
 
 
-@query()
+def _context_sql() -> str:
+    v = {0: 0, 1: 1, 2: 0.65, 3: 0.45, 4: 0.25, 5: 0.1, 6: 0}
+    visits, use = {0: 0, 1: 0.35, 2: 0.65, 3: 1}, _map("usualpl_a", {1: 1, 2: 0, 3: 0.45})
+    talk, last, well = _map("comdiff_a", {1: 0, 2: 0.35, 3: 0.7, 4: 1}), _map("lastdr_a", v), _map("wellvis_a", v)
+    y = lambda *cs: [_yn(c) for c in cs]
+    lists = {
+        "threat": [f"least(greatest(({AGE} - 18) / 67, CASE WHEN {AGE} IS NOT NULL THEN 0 END), CASE WHEN {AGE} IS NOT NULL THEN 1 END)", _map("phstat_a", {1: 0, 2: 0.15, 3: 0.35, 4: 0.7, 5: 1}), f"least(coalesce({COUNT}, 0) / 5, 1)",
+                   *y("anydiff_a", "disab3_a", "hlthcond_a"), _map("bmicat_a", {1: 0.25, 2: 0, 3: 0.35, 4: 0.7}), _map("smkcigst_a", {1: 1, 2: 0.75, 3: 0, 4: 0.35})],
+        "preventive": [*y("wellness_a"), well, last, use, *y("hitlook_a", "hitcomm_a", "hittest_a", "virapp12m_a")],
+        "barrier": [f"1 - {_yn('hicov_a')}", *y("notcov_a", "hinotyr_a"), MONTHS, *y("rsnhicost_a", "histopcost_a", "meddl12m_a", "medng12m_a", "rxdl12m_a", "rxdg12m_a"), _map("payworry_a", {1: 0, 2: 0.25, 3: 0.5, 4: 0.75, 5: 1}), *y("paybll12m_a", "paynobllnw_a", "transpor_a"), talk],
+        "cue": [last, *y("wellness_a"), well, _map("retailhc12mtc_a", visits), *y("virapp12m_a"), _map("urgcc12mtc_a", visits), _map("emerg12mtc_a", visits), *y("hospongt_a"), use],
+        "navigation": [use, _map("usplkind_a", {1: 1, 2: 0.55, 3: 0.2, 4: 0.8, 5: 0.45, 6: 0.15}), *y("accssint_a", "accsshom_a", "hitlook_a", "hitcomm_a", "hittest_a"), f"1 - {talk}"],
+    }
+    return f"WITH {CUR} SELECT source_row_index, " + ", ".join(f"round(2 * coalesce({_mean(*v)}, 0.5e0) - 1, 6) AS {k}_context" for k, v in lists.items()) + " FROM r"
+
+
+@query(_context_sql())
 def q_scores_context(spark, d):
     return rounded(scores.contextual_scores(respondents(spark, d)))
 
@@ -592,9 +608,119 @@ def q_features(spark, d):
     return rounded(f.select("p_partkey", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), F.size("x").alias("width")))
 
 
+_NEAR = f"""n AS (SELECT q.vec_id AS id, s.vec_id AS source_id, q.label AS ql, s.label AS sl, round({_SIM}, 9) AS v FROM embeddings q, embeddings s WHERE q.vec_id % 20 = 0 AND q.vec_id <> s.vec_id
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY v DESC, s.vec_id) <= 20)"""
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Twenty neighbours of every query and memories made of all vectors."""
+    q, s = _vectors(spark, d)
+    n = F.col("pattern").cast("int")
+    m = s.select("id", "pattern", (n / 10).alias("memory_value"), (n / 10).alias("memory_strength"), (n % 3).alias("correction_direction"), ((n - 4) / 100).alias("q_value"))
+    return retrieval.top_similar(q, s, [("embedding", 1.0, False)], 20), m, q
+
+
+@query(f"""WITH {_NEAR} SELECT id, source_id, CAST(row_number() OVER (PARTITION BY id ORDER BY v DESC, sl DESC, source_id) AS INT) AS pick FROM n WHERE v >= 0.1 QUALIFY pick <= 2""")
+def q_retrieve_by_similarity(spark, d):
+    near, m, _ = _near(spark, d)
+    return retrieval.retrieve_v4(near, m, least=0.1).select("id", "source_id", "pick")
+
+
+@query(f"""WITH {_NEAR}, k AS (SELECT *, round(0.7e0 * v + 0.3e0 * (sl / 10e0), 12) AS score, sl % 3 AS dir FROM n WHERE v >= 0.1), o AS (SELECT *, row_number() OVER (PARTITION BY id, dir ORDER BY score DESC, source_id) AS r FROM k)
+    SELECT id, source_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY (r > 1)::INT, score DESC, source_id) AS INT) AS pick FROM o QUALIFY pick <= 3""")
+def q_retrieve_diverse(spark, d):
+    near, m, _ = _near(spark, d)
+    return rounded(retrieval.retrieve_v5(near, m, least=0.1).select("id", "source_id", "score", "pick"))
+
+
+@query(f"""WITH {_NEAR}, k AS (SELECT *, 0.6e0 * v + 0.2e0 * (0.5e0 + 0.5e0 * tanh((sl - 4) / 100e0 / 0.02e0)) + 0.1e0 * (sl / 10e0) + 0.1e0 * (ql = sl)::INT AS score, sl % 3 AS dir FROM n WHERE v >= 0.1 AND (sl - 4) / 100e0 >= -0.002e0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY id, dir ORDER BY score DESC, source_id) AS r FROM k)
+    SELECT id, source_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY (r > 1)::INT, score DESC, source_id) AS INT) AS pick FROM o QUALIFY pick <= 3""")
+def q_retrieve_valued(spark, d):
+    near, m, q = _near(spark, d)
+    return rounded(retrieval.retrieve_valued(near, m, q, least=0.1).select("id", "source_id", "score", "pick"))
+
+
+@query(f"""WITH {_NEAR}, k AS (SELECT *, 0.85e0 * v + 0.15e0 * least(1, sl / 10e0) AS score FROM n WHERE v >= 0.1)
+    SELECT id, source_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, source_id) AS INT) AS pick FROM k QUALIFY pick <= 5""")
+def q_retrieve_residual(spark, d):
+    near, m, _ = _near(spark, d)
+    return rounded(retrieval.retrieve_residual(near, m, least=0.1).select("id", "source_id", "score", "pick"))
+
+
+# Validators, repairs, samples
+
+
+@query(f"""WITH {CALLS}, k AS (SELECT call_id, probability_yes AS p, least(greatest(raw_prediction * 60e0 - 30, -30), 30) AS a FROM ok WHERE raw_prediction IS NOT NULL)
+    SELECT call_id, a AS residual_adjustment, round(least(greatest(p + a, 0), 100), 6) AS probability_yes, abs(p - least(greatest(p + a, 0), 100)) > 1 AS probability_consistency_corrected,
+    CASE WHEN a > 2 THEN 'higher_than_pattern' WHEN a < -2 THEN 'lower_than_pattern' ELSE 'similar_to_pattern' END AS deviation_direction FROM k""")
+def q_validate_decisions(spark, d):
+    c = current_rows(table(spark, d, "call_log").select("call_id", "ingested_at", "status", "actual", "probability_yes", "raw_prediction"), "call_id", F.col("ingested_at").desc_nulls_last())
+    c = c.filter((F.col("status") == "ok") & F.col("actual").isin(0, 1) & F.col("probability_yes").isNotNull() & ~F.isnan("probability_yes") & F.col("raw_prediction").isNotNull())
+    v = predictor.decision(F.col("probability_yes"), F.col("raw_prediction") * 60.0 - 30, F.col("probability_yes"), F.lit(""))
+    return rounded(c.select("call_id", v.alias("v")).select("call_id", "v.residual_adjustment", "v.probability_yes", "v.probability_consistency_corrected", "v.deviation_direction"))
+
+
+@query("""SELECT memory_id, CASE WHEN lower(trim(correction_direction)) IN ('increase', 'up', 'raise', 'higher', 'positive') THEN 'increase' WHEN lower(trim(correction_direction)) IN ('decrease', 'down', 'lower', 'reduce', 'negative') THEN 'decrease'
+    WHEN lower(trim(correction_direction)) IN ('none', 'no_change', 'neutral', 'keep', 'unchanged') THEN 'none' END AS direction, round(CASE WHEN reflection_confidence IS NULL THEN 0.5e0 ELSE least(greatest(CASE WHEN reflection_confidence > 1 THEN reflection_confidence / 100 ELSE reflection_confidence END, 0), 1) END, 6) AS confidence,
+    least(len(supporting_variables), 3) AS n_supports FROM (SELECT * FROM memory_items WHERE memory_id IS NOT NULL) GROUP BY ALL""")
+def q_normalise_rules(spark, d):
+    m = table(spark, d, "memory_items").filter("memory_id is not null")
+    out = m.select("memory_id", X.alias(F.col("correction_direction"), X.DIRECTIONS).alias("direction"), X.confidence(F.col("reflection_confidence").cast("string")).alias("confidence"), F.size(X.limited_list(F.col("supporting_variables"), 3, 40)).cast("long").alias("n_supports"))
+    return rounded(out).distinct()
+
+
+@query(f"""WITH {PROF}, g AS (SELECT median(survey_weight) AS m FROM s WHERE survey_weight > 0), f AS (SELECT source_row_index, CASE WHEN survey_weight > 0 THEN survey_weight ELSE m END AS w FROM s, g)
+    SELECT source_row_index, round(w / avg(w) OVER (), 6) AS fit_weight FROM f""")
+def q_repair_weights(spark, d):
+    return rounded(stats.repair_weights(split_scores(spark, d), "survey_weight").select("source_row_index", "fit_weight"))
+
+
+@query(f"""WITH {PROF} SELECT source_row_index, CAST(vaccinated AS INT) AS label FROM sp WHERE split = 'memory' AND r0 < 4""")
+def q_balanced_support(spark, d):
+    m = split_scores(spark, d).filter("split = 'memory'")
+    ranked = splits.dense_order(m, ["vaccinated"], "source_row_index")
+    return ranked.filter("rank0 < 4").select("source_row_index", F.col("vaccinated").cast("int").alias("label"))
+
+
+@query(f"""WITH {PROF}, t AS (SELECT *, CASE WHEN vaccinated - p / 100 >= 0 THEN 'increase' ELSE 'decrease' END AS residual_direction, abs(vaccinated - p / 100) AS a FROM sc WHERE split = 'memory'),
+    e AS (SELECT * FROM t WHERE a >= 0.4 OR NOT (SELECT bool_or(a >= 0.4) FROM t)), k AS (SELECT count(*) AS k FROM (SELECT DISTINCT residual_direction, pattern FROM e)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY residual_direction, pattern ORDER BY round(a, 9) DESC, source_row_index) AS rn FROM e)
+    SELECT source_row_index, pattern AS hbm8_pattern, residual_direction, round(a, 6) AS abs_residual FROM r, k ORDER BY (rn <= greatest(1, ceil(100e0 / k))) DESC, round(a, 9) DESC, source_row_index LIMIT 100""")
+def q_residual_top(spark, d):
+    a = anchored(spark, d).filter("split = 'memory'").withColumn("r", F.round(F.col("vaccinated") - F.col("anchor_probability") / 100, 9))
+    return rounded(memory.residual_candidates(a, "r", "hbm8_pattern", "source_row_index", total=100).select("source_row_index", "hbm8_pattern", "residual_direction", "abs_residual"))
+
+
+@query(f"""WITH {PROF} SELECT source_row_index, round(-(vaccinated * ln(least(greatest(p / 100, 1e-6), 1 - 1e-6)) + (1 - vaccinated) * ln(1 - least(greatest(p / 100, 1e-6), 1 - 1e-6))), 6) AS loss,
+    round(ln(p / 100 / (1 - p / 100)), 6) AS logit FROM sc""")
+def q_row_losses(spark, d):
+    p = F.col("anchor_probability") / 100
+    return rounded(anchored(spark, d).select("source_row_index", R.log_loss(F.col("vaccinated"), p).alias("loss"), R.logit(p).alias("logit")))
+
+
+@query("""SELECT call_id, CASE WHEN m IS NULL THEN NULL WHEN m LIKE '%rate limit%' OR m LIKE '%429%' OR m LIKE '%too many requests%' THEN 'rate_limit' WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' OR m LIKE '%deadline%' THEN 'timeout'
+    WHEN m LIKE '%context length%' OR m LIKE '%maximum context%' OR m LIKE '%too long%' THEN 'context_length' WHEN m LIKE '%401%' OR m LIKE '%403%' OR m LIKE '%unauthorized%' OR m LIKE '%api key%' THEN 'authentication'
+    WHEN m LIKE '%content filter%' OR m LIKE '%safety%' OR m LIKE '%blocked%' THEN 'content_filter' WHEN m LIKE '%500%' OR m LIKE '%502%' OR m LIKE '%503%' OR m LIKE '%overloaded%' OR m LIKE '%internal error%' THEN 'server'
+    WHEN m LIKE '%connection%' OR m LIKE '%network%' OR m LIKE '%dns%' OR m LIKE '%reset by peer%' THEN 'connection' ELSE 'other' END AS category FROM (SELECT call_id, lower(error_message) AS m FROM call_log WHERE status = 'error') GROUP BY ALL""")
+def q_failure_category(spark, d):
+    return table(spark, d, "call_log").filter("status = 'error'").select("call_id", predictor.failure_category(F.col("error_message")).alias("category")).distinct()
+
+
 # Joins, unions, pivots on the star schema
 
 
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
+def q_semi_join(spark, d):
+    o = table(spark, d, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
+
+
+@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+def q_set_difference(spark, d):
+    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
 @query("""SELECT c_mktsegment, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS "O", round(avg(o_totalprice) FILTER (o_orderstatus = 'P'), 6) AS "P"
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def q_pivot(spark, d):

@@ -142,21 +142,23 @@ def q_stream_usage(spark, d):
 def collect_results(frames: dict[str, DataFrame]) -> DataFrame:
     """Result tables of all experiment groups in one schema.
 
-    ``frames``: group name to table. Renames: scenario, f1_positive, threshold, variant. The groups
-    in ``KEEP_VARIANT`` keep their variant column, so their version stays empty.
+    ``frames``: group name to table. Tables with a ``scenario`` column get their version from it
+    and the model as method. Tables with a ``threshold`` column have their variant, in capitals, as
+    version. Other tables keep a variant column for themselves, so their version stays empty.
     """
     out = []
     for group, df in frames.items():
         names = {"scenario": "feature_setting", "f1_positive": "f1"}
-        if group in ("reward_memory", "trbm"):
+        final, by_scenario = "threshold" in df.columns, "scenario" in df.columns
+        if final:
             names |= {"variant": "version", "threshold": "selected_threshold"}
         g = df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns]).withColumn("result_group", F.lit(group))
-        if group == "ml":
+        if by_scenario:
             setting = F.col("feature_setting")
             g = g.withColumns({"version": F.when(setting == "with_other_vaccine_history", "V4").when(setting == "without_other_vaccine_history", "V5"), "method": F.col("model")})
-        if group in ("reward_memory", "trbm"):
+        if final:
             g = g.withColumn("version", F.upper("version"))
-        if group in ("ml", "reward_memory", "trbm"):
+        if final or by_scenario:
             g = g.withColumn("status", F.lit("complete"))
         out.append(g.select(*[F.col(c).cast("string").alias(c) for c in g.columns]))
     return stats.union_aligned(out, RESULT_COLUMNS)
