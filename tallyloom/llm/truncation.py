@@ -163,20 +163,25 @@ def cut_values(values: DataFrame, opt: Ends = Ends()) -> DataFrame:
     rule that holds; null for a complete value).
     """
     rows = durable(signs(values.filter(F.col("value").isNotNull() & (F.trim("value") != ""))))
-    texts = rows.groupBy("field_name", "value").agg(F.count("*").alias("n"), F.first("suspect").alias("suspect"), F.first("stub").alias("stub"))
-    texts = durable(texts.filter("not stub").withColumn("toks", tokens(F.col("value"))))
+    texts = rows.groupBy("field_name", "value").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("suspect", "stub", "mark")])
+    # What stands before a mark of a cut is no ending and perhaps no word: it is left out of the counts.
+    toks = tokens(F.when(F.col("mark"), F.regexp_replace("value", MARK, "")).otherwise(F.col("value")))
+    texts = texts.filter("not stub").withColumn("toks", toks)
+    texts = durable(texts.withColumn("toks", F.when(F.col("mark"), F.slice("toks", 1, F.greatest(F.size("toks") - 1, F.lit(0)))).otherwise(F.col("toks"))))
     counts = ending_counts(texts)
     sus = texts.filter("suspect").select("field_name", "value", "n", F.posexplode(F.array(*[_last(F.col("toks"), i) for i in (1, 2, 3)])).alias("i", "gram"))
     judged = sus.filter("gram is not null").join(counts, ["field_name", "gram"], "left")
     own = F.col("n")
     seen = F.col("inside") + F.col("stops") + F.col("ends")
-    share = (F.col("stops") + F.col("ends")) / seen
+    # The value itself does not count. A single word is confirmed by stops only: pieces of words
+    # repeat at the ends of cut values.
+    share = F.when(F.col("i") > 0, F.try_divide(F.col("stops") + F.col("ends") - own, seen - own)).otherwise(F.try_divide(F.col("stops"), F.col("inside") + F.col("stops")))
     by_gram = judged.select(
         "field_name", "value",
         F.struct(
             # Long grams first, if others than this value have them.
-            F.when(seen - own >= opt.support, F.col("i")).otherwise(F.lit(-1)).alias("order"),
-            (share < opt.least_share).alias("unfinished"),
+            F.when((F.col("i") == 0) | (seen - own >= opt.support), F.col("i")).otherwise(F.lit(-1)).alias("order"),
+            F.coalesce(share < opt.least_share, F.lit(True)).alias("unfinished"),
         ).alias("v"),
         F.when(F.col("i") == 0, F.col("inside") + F.col("stops") == 0).alias("fragment"),
     )
