@@ -148,7 +148,21 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p8_found, p8_segments, p8_labels)}
 
+GRAMS = r"""SELECT DISTINCT {key} AS {key}, array_to_string(ws[i:i + 12], ' ') AS gram FROM
+    (SELECT {key}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table} WHERE {key} IS NOT NULL) WHERE len(ws) >= 13)"""
+
 SQL = {
+    "p3_found": """
+        WITH w AS (SELECT matrix_name, vec_id, any_value(embedding::DOUBLE[]) AS e, any_value(k) AS k, any_value(min_cosine) AS least
+                   FROM similarity_vectors JOIN matrix_specs USING (matrix_name)
+                   WHERE vec_id IS NOT NULL AND len(embedding) = dims AND list_count(embedding) = dims AND NOT list_contains(embedding::DOUBLE[], 'nan'::DOUBLE)
+                   GROUP BY matrix_name, vec_id),
+        v AS (SELECT * FROM w WHERE list_dot_product(e, e) > 0 AND list_dot_product(e, e) < 'inf'::DOUBLE),
+        p AS (SELECT q.vec_id AS a, s.vec_id AS b, list_cosine_similarity(q.e, s.e) AS c, q.k, q.least FROM v q JOIN v s USING (matrix_name) WHERE q.vec_id <> s.vec_id
+              QUALIFY row_number() OVER (PARTITION BY matrix_name, q.vec_id ORDER BY c DESC, s.vec_id) <= q.k)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM p WHERE c >= p.least
+    """,
+    "p6_found": f"SELECT DISTINCT item_id, doc_id FROM ({GRAMS.format(key='item_id', table='eval_items')}) JOIN ({GRAMS.format(key='doc_id', table='documents')}) USING (gram)",
     "p4_found": """
         WITH r AS (SELECT source_row_index, shtflu12m_a FROM respondents WHERE source_row_index IS NOT NULL
                    QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY loaded_at DESC NULLS LAST) = 1),
