@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for logs and stream state."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid4().hex[:12]}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -13,8 +27,5 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in
     tests on one machine, a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.functions.durable import durable
+from tallyloom.functions.durable import durable, shared_folder
 from tallyloom.operators import memory, models, patterns, predictor, retrieval, scores, splits, stats
 from tallyloom.plans.calibration import anchored, profiled, respondents, split_scores
 from tallyloom.sources.tables import table
@@ -104,8 +102,8 @@ def q_stub_decisions(spark, d):
     a = anchored(spark, d).filter("split = 'test'")
     profile = F.struct(*[F.round(c, 2).alias(c) for c in ("motivation_score", "capability_score", "activation_score")])
     prompts = a.select(F.col("source_row_index").alias("key"), "anchor_probability", predictor.prompt("Adjust the base probability.", F.col("anchor_probability"), profile).alias("prompt"))
-    log = tempfile.mkdtemp(prefix="tallyloom-log-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/calls-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    got = predictor.run_pending(spark, prompts, f"{log}/calls", "stub-1")
+    log = shared_folder(spark, "calls")
+    got = predictor.run_pending(spark, prompts, log, "stub-1")
     body = predictor.parse_answer(F.col("text"), {"probability_yes": "double", "residual_adjustment": "double", "deviation_direction": "string"})
     j = got.join(prompts.select("key", "anchor_probability"), "key").withColumn("a", body)
     v = predictor.decision(F.col("anchor_probability"), F.col("a.residual_adjustment"), F.col("a.probability_yes"), F.coalesce("a.deviation_direction", F.lit("")))
@@ -134,7 +132,7 @@ def q_stream_usage(spark, d):
     glob = folder if os.path.isdir(folder) else f"{d}/call_log*.parquet"
     stream = logs.hourly_usage(logs.stream_calls(spark, glob, source.schema), "400 days")
     name = f"usage_{abs(hash((d, spark.sparkContext.applicationId))) % 10**9}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
