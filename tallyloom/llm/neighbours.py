@@ -7,8 +7,14 @@
 2. Every row is indexed in its most probable partition. A partition with more than ``leaf``
    rows gets a model of its own and is divided again.
 3. Every row is a query. It is sent to its most probable partitions, until their probability
-   reaches ``cover`` (``probes`` at most a level), and reranked there with exact cosines.
-   Partitions are compared in blocks of ``block`` rows, so a hot partition is many small tasks.
+   reaches the model's ``cover``, and reranked there with exact cosines. Partitions are compared in
+   blocks of ``block`` rows, so a hot partition is many small tasks.
+
+The cover of a model is calibrated, so probes grow with the partitions: of queries and indexed rows
+that the model was not fitted on, the exact neighbours are looked up, and the cover is the least
+probability by which the share of them that level may not lose is reached. All levels together
+may lose ``1 - recall``, the first half of it, each further one half of the one before. A sample is
+thinner than its node and its neighbours lie further away, so the figure errs on the safe side.
 
 Exact copies: of each group of equal vectors only the ``k + 1`` smallest ids are indexed; by the
 tie rule (higher cosine, then smaller id) no other copy can be among anyone's k nearest. The other
@@ -36,7 +42,8 @@ from tallyloom.functions.durable import durable
 
 @dataclass(frozen=True)
 class Learned:
-    """``sample``: rows a model is fitted on; ``rows``: aimed rows a partition."""
+    """``sample``: rows a model is fitted on; ``rows``: aimed rows a partition; ``recall``: aimed
+    share of the k nearest that is found."""
 
     sample: int = 4096
     rows: int = 1024
@@ -45,13 +52,14 @@ class Learned:
     graph_k: int = 10
     hidden: int = 64
     epochs: int = 40
-    cover: float = 0.98
-    probes: int = 6
+    recall: float = 0.98
     block: int = 4096
     depth: int = 4
     seed: int = 5
 
 
+#: Held-out neighbours below which a cover is not trusted and all partitions are searched.
+LEAST_HELD = 500
 #: Largest set of models that is broadcast, in bytes; a model has about 30 KB.
 MODEL_BYTES = 200_000_000
 
@@ -139,18 +147,52 @@ def route(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def _fit_udf(opt: Learned):
+def masses_before(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions from the most probable down, and the probability of those before each."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    top = np.take_along_axis(p, order, 1)
+    return order, np.cumsum(top, 1) - top
+
+
+def calibrated_cover(model: dict[str, np.ndarray], xq: np.ndarray, iq: np.ndarray, xb: np.ndarray, ib: np.ndarray, k: int, recall: float) -> float:
+    """Least cover that finds ``recall`` of the k nearest of the queries xq among the rows xb.
+
+    Neither may hold rows of the fit. Ids are compared to leave out a query itself. Too few rows
+    give a cover of 1, which is all partitions.
+    """
+    k = min(k, len(xb) - 1)
+    if k < 1 or len(xq) * k < LEAST_HELD:
+        return 1.0
+    home = route(model, xb).argmax(1)
+    lost = []
+    for s in range(0, len(xq), 512):
+        sim = xq[s : s + 512] @ xb.T
+        sim[iq[s : s + 512, None] == ib[None, :]] = -np.inf
+        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        order, before = masses_before(route(model, xq[s : s + 512]))
+        lost.append(np.take_along_axis(before, np.take_along_axis(np.argsort(order, axis=1), home[near], 1), 1).ravel())
+    return float(np.quantile(np.concatenate(lost), recall, method="higher"))
+
+
+def _fit_udf(opt: Learned, k: int, recall: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n = unit(pdf["v"]), int(pdf["n"].iloc[0])
+        n, by = int(pdf["n"].iloc[0]), dict(list(pdf.groupby("role")))
+        x = unit(by["fit"]["v"])
         parts = 2 ** int(np.clip(np.ceil(np.log2(max(2, n / opt.rows))), 1, np.log2(opt.fan)))
         parts = min(parts, 2 ** int(np.log2(max(2, len(x) // 4))))
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "model": [pickle.dumps(fit_router(x, parts, opt))]})
+        model = fit_router(x, parts, opt)
+        cover = 1.0
+        if "base" in by and "query" in by:
+            b, q = by["base"], by["query"]
+            cover = calibrated_cover(model, unit(q["v"]), q["vec_id"].to_numpy(), unit(b["v"]), b["vec_id"].to_numpy(), k, recall)
+        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "model": [pickle.dumps(model | {"cover": cover})]})
 
     return run
 
 
-def _route_udf(models, opt: Learned, probes: int):
-    """Send the rows of divided nodes on to their partitions; rows of other nodes pass."""
+def _route_udf(models, home: bool):
+    """Send the rows of divided nodes on to their partitions (``home``: only to the most probable);
+    rows of other nodes pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -161,10 +203,8 @@ def _route_udf(models, opt: Learned, probes: int):
                     continue
                 if node not in held:
                     held[node] = pickle.loads(models.value[node])
-                p = route(held[node], unit(part["v"]))
-                order = np.argsort(-p, axis=1)[:, :probes]
-                top = np.take_along_axis(p, order, 1)
-                take = np.cumsum(top, 1) - top < (opt.cover if probes > 1 else 0.0)
+                order, before = masses_before(route(held[node], unit(part["v"])))
+                take = before <= (-1.0 if home else held[node]["cover"] + 1e-9)
                 take[:, 0] = True
                 i, j = np.nonzero(take)
                 out = part.iloc[i].copy()
@@ -243,21 +283,31 @@ def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Lear
         frontier = {n: c for n, c in big.items() if n.count(".") == level or level == 0}
         if not frontier:
             break
-        rate = F.lit(0.0)
-        size = F.lit(0)
+        # At the root all rows are queries; below it a node is searched for rows of other nodes too.
+        asked = frontier if not level else {r["node"]: r["count"] for r in query.filter(F.col("node").isin(list(frontier))).groupBy("node").count().collect()}
+        # Two thirds of the sampled rows are fitted on, the rest is held out.
+        fit_rate, ask_rate, size = F.lit(0.0), F.lit(0.0), F.lit(0)
         for n, c in frontier.items():
-            rate = F.when(F.col("node") == n, F.lit(opt.sample / c)).otherwise(rate)
+            fit_rate = F.when(F.col("node") == n, F.lit(min(opt.sample / c, 2 / 3))).otherwise(fit_rate)
+            ask_rate = F.when(F.col("node") == n, F.lit(opt.sample / asked.get(n, c))).otherwise(ask_rate)
             size = F.when(F.col("node") == n, F.lit(c)).otherwise(size)
-        u = F.pmod(F.xxhash64(F.lit(opt.seed + level), "vec_id"), F.lit(1_000_003)) / 1_000_003
-        sample = base.filter(F.col("node").isin(list(frontier))).filter(u < rate).select("node", "v", size.alias("n"))
-        fitted = sample.groupBy("node").applyInPandas(_fit_udf(replace(opt, seed=opt.seed + level)), "node string, model binary").collect()
+        draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_003)) / 1_000_003
+        u = draw(opt.seed + level)
+        role = F.when(u < fit_rate, "fit").when(u < 1.5 * fit_rate, "base")
+        inside = F.col("node").isin(list(frontier))
+        cols = lambda r: ("node", "vec_id", "v", size.alias("n"), r.alias("role"))
+        sample = base.filter(inside).select(*cols(role)).filter("role is not null")
+        queries = query.filter(inside & (u >= fit_rate) & (draw(opt.seed + level + 1000) < ask_rate)).select(*cols(F.lit("query")))
+        keep = 1 - (1 - opt.recall) / 2 ** (level + 1)
+        udf = _fit_udf(replace(opt, seed=opt.seed + level), k, keep)
+        fitted = sample.unionByName(queries).groupBy("node").applyInPandas(udf, "node string, model binary").collect()
         total = sum(len(r["model"]) for r in fitted)
         if total > MODEL_BYTES:
             raise ValueError(f"the models of level {level} have {total} bytes; raise Learned.rows or Learned.leaf")
         models = spark.sparkContext.broadcast({r["node"]: bytes(r["model"]) for r in fitted})
         schema = "matrix_name string, vec_id long, v array<float>, node string"
-        base = durable(base.mapInPandas(_route_udf(models, opt, 1), schema))
-        query = durable(query.mapInPandas(_route_udf(models, opt, opt.probes), schema))
+        base = durable(base.mapInPandas(_route_udf(models, True), schema))
+        query = durable(query.mapInPandas(_route_udf(models, False), schema))
     n_base = base.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nb"))
     n_query = query.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nq"))
     sizes = n_base.join(n_query, "node")

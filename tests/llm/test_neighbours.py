@@ -42,6 +42,17 @@ def test_recall(spark, opt):
     assert recall >= (0.9 if opt is SMALL else 1.0)
 
 
+def test_recall_with_many_partitions(spark):
+    # 64 partitions at once and two levels: a fixed number of probes loses neighbours here.
+    rows, x = make(spark, 3000, 16, seed=3)
+    df, want = spark.createDataFrame(rows, SCHEMA), brute(x, 5)
+    for opt in (N.Learned(sample=1500, rows=48, fan=64), N.Learned(sample=600, rows=64, leaf=300, fan=8)):
+        got = {}
+        for r in N.nearest(spark, df, specs(spark, 16), opt).collect():
+            got.setdefault(r.vec_id, set()).add(r.other_id)
+        assert np.mean([len(got.get(i, set()) & want[i]) / 5 for i in want]) >= 0.97
+
+
 def test_pairs_hold_for_a_third_of_copies(spark):
     rows, x = make(spark, 600, copies=200)
     got = {(r[0], r[1]) for r in N.similar_pairs(spark, spark.createDataFrame(rows, SCHEMA), specs(spark, least=0.999), SMALL).collect()}
