@@ -91,12 +91,12 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 # Problem 6
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
+def _leaks(spark: SparkSession, d: str, opt: leakage.Walks = leakage.Walks()) -> DataFrame:
+    return leakage.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_items"), opt)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter("edits = 0").select("item_id", "doc_id").distinct()
+    return _leaks(spark, d, leakage.EXACT).filter("edits = 0").select("item_id", "doc_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:

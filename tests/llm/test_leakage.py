@@ -55,6 +55,45 @@ def test_changed_passages_are_mostly_found(spark):
     assert sum((i, i) in found for i in range(60)) >= 54
 
 
+def test_window_recall_at_every_place():
+    """Windows of 13 words with 0, 1 and 2 edits; a window keeps its width after an edit."""
+    rng, n, opt = np.random.default_rng(6), 400, L.Walks()
+    base = rng.integers(0, 2**63, (n, opt.width), dtype=np.uint64)
+    at = np.arange(n) * opt.width
+    keys = L.signatures(base.ravel(), at, opt)
+
+    def recall(*edits):
+        rows = base.tolist()
+        for w in rows:
+            for kind, place in edits:
+                if kind == "i":
+                    w.insert(place, int(rng.integers(0, 2**63)))
+                elif kind == "d":
+                    w.pop(place)
+                else:
+                    w[place] = int(rng.integers(0, 2**63))
+            w[:] = (w + rng.integers(0, 2**63, 2).tolist())[: opt.width]
+        other = np.array(rows, dtype=np.uint64)
+        near = L.edit_distance(base, other, opt.max_edits) <= opt.max_edits
+        assert near.all()
+        return (keys == L.signatures(other.ravel(), at, opt)).any(1).mean()
+
+    places = range(opt.width)
+    assert recall() == 1.0
+    # An insertion or deletion pushes a word over the window's end: with it they are two edits.
+    one = [recall((kind, p)) for kind in "sid" for p in places]
+    two = [recall(("s", p), ("s", q)) for p in places for q in places if p < q] + [recall(("d", p), ("i", q)) for p in places for q in range(opt.width - 1)]
+    assert min(one) >= 0.99 and min(two) >= 0.97 and np.mean(two) >= 0.99
+
+
+def test_one_table_finds_exact_passages(spark):
+    docs, items = corpus(1), corpus(2, 8, 30)
+    docs[0] += " " + items[0]
+    docs[1] += " " + " ".join(items[1].split()[5:18])
+    got = {(r.item_id, r.doc_id) for r in run(spark, docs, items, L.EXACT).collect()}
+    assert got == brute(docs, items) and {(0, 0), (1, 1)} <= got
+
+
 def test_edit_distance_against_plain_dp():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 3, (300, 7)), rng.integers(0, 3, (300, 7))
