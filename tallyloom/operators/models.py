@@ -74,6 +74,17 @@ def crossfit(df: DataFrame, y: str, fold: str, k: int, names: Sequence[str] = CO
     return out.withColumn("residual_direction", F.when(F.col("residual") >= 0, "increase").otherwise("decrease"))
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """Rows that are read in every step: computed once, cached, at most a partition a core."""
+    return durable(df).coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()
+
+
+def _summed(rows: DataFrame, run) -> np.ndarray:
+    """Sum of the vectors that the partitions yield; these are added up without a shuffle."""
+    parts = rows.mapInPandas(lambda b: (pd.DataFrame({"v": [v]}) for v in run(b)), "v array<double>").collect()
+    return np.sum([r["v"] for r in parts], axis=0)
+
+
 @dataclass
 class Reward:
     """Weights softplus(g), pattern multipliers exp(0.45 tanh(m)) and pattern means."""
@@ -99,18 +110,19 @@ class Reward:
 
 
 def fit_reward(df: DataFrame, y: str, anchor: str, patterns: Sequence[str], names: Sequence[str] = CONSTRUCTS, pattern: str = "hbm8_pattern",
-               weight: str | None = None, steps: int = 60, rate: float = 0.05, ridge_pattern: float = 0.05, ridge_global: float = 0.01, patience: int = 15) -> Reward:
+               weight: str | None = None, steps: int = 300, rate: float = 0.05, ridge_pattern: float = 0.05, ridge_global: float = 0.01, patience: int = 30) -> Reward:
     """logit(p) = logit(anchor) + weights of the pattern . (x - mean of the pattern), by Adam.
 
     Each step, the partitions sum loss and derivatives per pattern in numpy, so 8 x 6 numbers a
-    partition are added up and come to the driver. Missing constructs are 0.5.
+    partition come to the driver. Missing constructs are 0.5. The fit ends after ``patience`` steps
+    without a better loss and returns the best state.
     """
     n_x, n_p = len(names), len(patterns)
     x = [F.coalesce(F.col(n).cast("double"), F.lit(0.5)) for n in names]
     place = F.array_position(F.array(*map(F.lit, patterns)), F.col(pattern)) - 1
     w_col = (F.col(weight) if weight else F.lit(1.0)).cast("double")
     rows = df.filter(F.col(y).isNotNull() & (place >= 0)).select(place.cast("int").alias("p"), F.col(y).cast("double").alias("y"), logit(F.col(anchor)).alias("a"), w_col.alias("w"), *[c.alias(n) for n, c in zip(names, x)])
-    rows = durable(rows)
+    rows = _pinned(rows)
     stat = {r["p"]: r for r in rows.groupBy("p").agg(F.sum("w").alias("w"), *[F.avg(n).alias(n) for n in names]).collect()}
     means = np.array([[stat[k][n] if k in stat else 0.5 for n in names] for k in range(n_p)])
     total = sum(r["w"] for r in stat.values()) or 1.0
@@ -119,7 +131,7 @@ def fit_reward(df: DataFrame, y: str, anchor: str, patterns: Sequence[str], name
     for step in range(1, steps + 1):
         eff = model.weights
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
             acc = np.zeros((n_p, n_x + 1))
             for b in batches:
                 k = b["p"].to_numpy()
@@ -128,12 +140,9 @@ def fit_reward(df: DataFrame, y: str, anchor: str, patterns: Sequence[str], name
                 loss = b["w"].to_numpy() * (np.maximum(z, 0) - z * b["y"].to_numpy() + np.log1p(np.exp(-np.abs(z))))
                 d = b["w"].to_numpy() * (1 / (1 + np.exp(-z)) - b["y"].to_numpy())
                 np.add.at(acc, k, np.column_stack([loss, d[:, None] * c]))
-            yield pd.DataFrame({"i": np.arange(acc.size), "v": acc.ravel()})
+            yield acc.ravel()
 
-        got = np.zeros(n_p * (n_x + 1))
-        for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            got[r["i"]] = r["v"]
-        got = got.reshape(n_p, n_x + 1)
+        got = _summed(rows, run).reshape(n_p, n_x + 1)
         d = got[:, 1:] / total
         soft, mult, t = np.log1p(np.exp(model.g)), np.exp(0.45 * np.tanh(model.m)), np.tanh(model.m)
         value = got[:, 0].sum() / total + ridge_pattern * np.mean(model.m**2) + ridge_global * np.mean(model.g**2)
@@ -149,6 +158,7 @@ def fit_reward(df: DataFrame, y: str, anchor: str, patterns: Sequence[str], name
         var = [0.001 * g * g if var is None else 0.999 * v + 0.001 * g * g for g, v in zip(grad, var or grad)]
         for p, v, s in zip((model.g, model.m), mom, var):
             p -= rate * (v / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    rows.unpersist()
     model.g, model.m = best[1], best[2]
     return model
 

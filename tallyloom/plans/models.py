@@ -39,7 +39,7 @@ def q_residual_candidates(spark, d):
 
 def _reward(spark, d):
     c = _constructs(spark, d)
-    r = models.fit_reward(c.filter("split = 'memory'"), "vaccinated", "anchor", patterns.ORDER, steps=25)
+    r = models.fit_reward(c.filter("split = 'memory'"), "vaccinated", "anchor", patterns.ORDER)
     return models.reward_prior(c, r, "anchor")
 
 

@@ -128,3 +128,14 @@ def test_reward_and_latent_losses_fall(spark):
     assert losses[-1] < losses[0]
     th = models.latent_map(rows, "source_row_index", models.CONSTRUCTS, ["a0"], ["w0"], fitted, steps=20).collect()
     assert len(th) == 240 and all(abs(v) <= 2 for r in th for v in r[1:])
+
+
+def test_reward_of_the_queries_ends_by_patience(spark, data, monkeypatch):
+    from tallyloom.plans import models as plans
+
+    kept, fit = [], models.fit_reward
+    monkeypatch.setattr(models, "fit_reward", lambda *a, **k: kept.append(fit(*a, **k)) or kept[-1])
+    plans._reward(spark, data)
+    losses = kept[0].losses
+    # Either the 300 steps of the reference, or 30 steps in a row that are no better.
+    assert len(losses) == 300 or min(losses[-30:]) >= min(losses[:-30]) - 30e-6 and len(losses) > 30
