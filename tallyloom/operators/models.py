@@ -221,39 +221,117 @@ def latent_map(df: DataFrame, key: str, x: Sequence[str], actions: Sequence[str]
     return df.select(key, *x, *actions, *weights).mapInPandas(run, schema)
 
 
-def fit_latent(df: DataFrame, x: Sequence[str], actions: Sequence[str], weights: Sequence[str], sign: Sequence[float], steps: int = 40, rate: float = 0.1, ridge: float = 0.01) -> tuple[Latent, list[float]]:
-    """Globals by gradient steps; each partition sends its summed gradient (some dozen numbers)."""
+def person_residuals(base: np.ndarray, u: np.ndarray, a: np.ndarray, w: np.ndarray, beta: np.ndarray, load: np.ndarray, sign: np.ndarray, c: float, most: int = 50, near: float = 1e-5) -> np.ndarray:
+    """Residuals that minimise sum(w * log loss) + c * |u|^2 of every row, by damped Newton steps from u.
+
+    A row whose step is below ``near`` is done; ``most`` steps are a guard.
+    """
+    def state(base, u, a, w):
+        th = np.tanh(base + u)
+        z = beta + (2 * th * sign) @ load.T
+        return th, z, (w * (np.maximum(z, 0) - z * a + np.log1p(np.exp(-np.abs(z))))).sum(1) + c * (u * u).sum(1)
+
+    u, at, damp = u.copy(), np.arange(len(u)), np.zeros(len(u))
+    for _ in range(most):
+        if not len(at):
+            break
+        b_, u_, a_, w_ = base[at], u[at], a[at], w[at]
+        th, z, value = state(b_, u_, a_, w_)
+        p = 1 / (1 + np.exp(-z))
+        slope = 2 * (1 - th**2) * sign
+        pull = ((w_ * (p - a_)) @ load) * slope
+        g = pull + 2 * c * u_
+        inner = (w_ * p * (1 - p)) @ (load[:, :, None] * load[:, None, :]).reshape(len(load), -1)
+        h = inner.reshape(len(at), u.shape[1], -1) * slope[:, :, None] * slope[:, None, :]
+        h[:, np.arange(u.shape[1]), np.arange(u.shape[1])] += 2 * c + damp[at, None] - 2 * th * pull
+        step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        better = state(b_, u_ - step, a_, w_)[2] <= value + 1e-12
+        u[at[better]] -= step[better]
+        damp[at] = np.where(better, damp[at] / 4, np.maximum(4 * damp[at], c))
+        at = at[~better | (np.abs(step).max(1) > near)]
+    return u
+
+
+def fit_latent(df: DataFrame, x: Sequence[str], actions: Sequence[str], weights: Sequence[str], sign: Sequence[float], anchors: Sequence[Sequence[float]] | None = None,
+               steps: int = 300, rate: float = 0.02, patience: int = 35, least_gain: float = 1e-5, person: float = 0.25, ridge: float = 0.002, anchor_ridge: float = 0.2, keep_every: int = 25) -> tuple[Latent, list[float]]:
+    """Globals of the hierarchical model by Adam, with a residual a person.
+
+    Loss: weighted mean log loss + ``person`` * mean square of the residuals + ``ridge`` * (mean
+    squares of prior map and of intercepts) + ``anchor_ridge`` * mean squared distance of the
+    loadings from ``anchors``. Loadings start at the anchors, intercepts at logits of the
+    prevalences, the prior map at the identity. The fit ends after ``patience`` steps that gain
+    less than ``least_gain`` and returns the best state.
+
+    Given the globals, residuals of different persons are independent. In every step each row's
+    residual is solved for where the row is, so the loss and its gradient are those at the best
+    residuals; a partition sends some dozen numbers. Every ``keep_every`` steps the residuals are
+    stored with the rows as start of the next ones.
+    """
     n, k = len(x), len(actions)
-    p = {"prior_map": 0.5 * np.eye(n), "bias": np.zeros(n), "beta": np.zeros(k), "loadings": np.zeros((k, n))}
-    sg = np.array(sign, dtype=float)
-    rows = durable(df.select(*x, *actions, *weights))
-    mom, var, losses = None, None, []
+    anchor = np.log1p(np.ones((k, n))) if anchors is None else np.asarray(anchors, dtype=float)
+    held = [f"__u{i}" for i in range(n)]
+    rows = _pinned(df.select(*x, *actions, *weights, *[F.lit(0.0).alias(u) for u in held]))
+    sums = rows.agg(F.count("*").alias("n"), *[F.sum(F.coalesce(w, F.lit(0.0))).alias(f"w{i}") for i, w in enumerate(weights)], *[F.sum(F.coalesce(F.col(w) * F.col(a), F.lit(0.0))).alias(f"a{i}") for i, (a, w) in enumerate(zip(actions, weights))]).first()
+    mass = np.array([sums[f"w{i}"] or 0.0 for i in range(k)])
+    prevalence = np.array([np.clip(sums[f"a{i}"] / m, 0.02, 0.98) if m > 0 else 0.5 for i, m in enumerate(mass)])
+    people, total, sg = max(sums["n"], 1), max(mass.sum(), 1.0), np.array(sign, dtype=float)
+    c = person * total / (people * n)  # of a person's squares, when its log loss is summed
+    p = {"prior_map": np.eye(n), "bias": np.zeros(n), "beta": np.log(prevalence / (1 - prevalence)), "loadings": np.log(np.expm1(np.maximum(anchor, 1e-4)))}
+    mom, var, losses, best, stale = None, None, [], None, 0
     for t in range(1, steps + 1):
         cur = {a: b.copy() for a, b in p.items()}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved(b: pd.DataFrame):
+            load = np.log1p(np.exp(cur["loadings"]))
+            xs, a, w, u = (np.nan_to_num(b[list(names)].to_numpy(np.float64)) for names in (x, actions, weights, held))
+            base = xs @ cur["prior_map"].T + cur["bias"]
+            return xs, a, w, base, load, person_residuals(base, u, a, w, cur["beta"], load, sg, c)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
             acc = np.zeros(2 + n * n + n + k + k * n)
             for b in batches:
-                xs, a, w = (np.nan_to_num(b[list(c)].to_numpy(np.float64)) for c in (x, actions, weights))
-                load = np.log1p(np.exp(cur["loadings"]))
-                th = np.tanh(xs @ cur["prior_map"].T + cur["bias"])
+                xs, a, w, base, load, u = solved(b)
+                th = np.tanh(base + u)
                 z = cur["beta"] + (2 * th * sg) @ load.T
                 dz = w * (1 / (1 + np.exp(-z)) - a)
                 dth = (dz @ load) * sg * 2 * (1 - th**2)
                 loss = (w * (np.maximum(z, 0) - z * a + np.log1p(np.exp(-np.abs(z))))).sum()
-                acc += np.concatenate([[loss, w.sum()], (dth.T @ xs).ravel(), dth.sum(0), dz.sum(0), ((dz.T @ (2 * th * sg)) / (1 + np.exp(-cur["loadings"]))).ravel()])
-            yield pd.DataFrame({"i": np.arange(len(acc)), "v": acc})
+                acc += np.concatenate([[loss, (u * u).sum()], (dth.T @ xs).ravel(), dth.sum(0), dz.sum(0), ((dz.T @ (2 * th * sg)) / (1 + np.exp(-cur["loadings"]))).ravel()])
+            yield acc
 
-        got = np.array([r["v"] for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
-        loss, total = got[0], max(got[1], 1.0)
-        losses.append(float(loss / total + ridge * sum((a**2).sum() for a in cur.values())))
+        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b[held] = solved(b)[-1]
+                yield b
+
+        if t > 1 and t % keep_every == 1 or t == 5:
+            old, rows = rows, _pinned(rows.mapInPandas(keep, rows.schema))
+            old.unpersist()
+        got = _summed(rows, run)
+        load = np.log1p(np.exp(cur["loadings"]))
+        size = n * n + n
+        value = got[0] / total + person * got[1] / (people * n) + ridge * (((cur["prior_map"] ** 2).sum() + (cur["bias"] ** 2).sum()) / size + (cur["beta"] ** 2).mean()) + anchor_ridge * ((load - anchor) ** 2).mean()
+        losses.append(float(value))
+        if best is None or value + least_gain < best[0]:
+            best, stale = (value, cur), 0
+        else:
+            stale += 1
+            if stale >= patience:
+                break
         parts = np.split(got[2:] / total, np.cumsum([n * n, n, k]))
-        grad = {a: g.reshape(p[a].shape) + 2 * ridge * p[a] for a, g in zip(("prior_map", "bias", "beta", "loadings"), parts)}
+        grad = {a: g.reshape(p[a].shape) for a, g in zip(("prior_map", "bias", "beta", "loadings"), parts)}
+        grad["prior_map"] = grad["prior_map"] + 2 * ridge * cur["prior_map"] / size
+        grad["bias"] = grad["bias"] + 2 * ridge * cur["bias"] / size
+        grad["beta"] = grad["beta"] + 2 * ridge * cur["beta"] / k
+        grad["loadings"] = grad["loadings"] + 2 * anchor_ridge * (load - anchor) / (k * n) / (1 + np.exp(-cur["loadings"]))
+        norm = np.sqrt(sum((g**2).sum() for g in grad.values()))
+        grad = {a: g * min(1.0, 5.0 / max(norm, 1e-12)) for a, g in grad.items()}
         mom = {a: 0.1 * g if mom is None else 0.9 * mom[a] + 0.1 * g for a, g in grad.items()}
         var = {a: 0.001 * g * g if var is None else 0.999 * var[a] + 0.001 * g * g for a, g in grad.items()}
         for a in p:
             p[a] = p[a] - rate * (mom[a] / (1 - 0.9**t)) / (np.sqrt(var[a] / (1 - 0.999**t)) + 1e-8)
-    return Latent(sign=sg, **p), losses
+    rows.unpersist()
+    return Latent(sign=sg, **best[1]), losses
 
 
 def classifier(name: str, seed: int = 42):

@@ -51,6 +51,10 @@ def q_reward_revision(spark, d):
     return models.accept_revision(_reward(spark, d).filter("split = 'memory'"), "vaccinated", "anchor", {"threat": 1, "cue": -1})
 
 
+#: Start of the loadings of COVID, pneumonia and hepatitis A on the five contexts.
+LOADINGS = [[0.65, 1.0, 0.55, 0.8, 0.55], [1.0, 0.7, 0.5, 0.95, 0.45], [0.5, 0.7, 0.75, 0.5, 0.7]]
+
+
 def q_latent_map(spark, d):
     """Latent vectors of all respondents from contextual scores and three observed actions."""
     r = respondents(spark, d)
@@ -61,7 +65,7 @@ def q_latent_map(spark, d):
     a = r.select("source_row_index", *[F.coalesce(yes_no(c), F.lit(0.0)).alias(f"a{i}") for i, c in enumerate(acts)], *[yes_no(c).isNotNull().cast("double").alias(f"w{i}") for i, c in enumerate(acts)])
     x = [c for c in ctx.columns if c != "source_row_index"]
     rows = durable(ctx.join(a, "source_row_index"))
-    fitted, _ = models.fit_latent(rows, x, ["a0", "a1", "a2"], ["w0", "w1", "w2"], [1, 1, -1, 1, 1], steps=10)
+    fitted, _ = models.fit_latent(rows, x, ["a0", "a1", "a2"], ["w0", "w1", "w2"], [1, 1, -1, 1, 1], LOADINGS)
     return models.latent_map(rows, "source_row_index", x, ["a0", "a1", "a2"], ["w0", "w1", "w2"], fitted)
 
 

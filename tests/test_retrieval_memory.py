@@ -139,3 +139,26 @@ def test_reward_of_the_queries_ends_by_patience(spark, data, monkeypatch):
     losses = kept[0].losses
     # Either the 300 steps of the reference, or 30 steps in a row that are no better.
     assert len(losses) == 300 or min(losses[-30:]) >= min(losses[:-30]) - 30e-6 and len(losses) > 30
+
+
+def test_latent_fit_converges_with_residuals(spark):
+    df, _, _ = model_rows(spark, 240)
+    rows = df.fillna(0.5).select("source_row_index", *models.CONSTRUCTS, F.col("vaccinated").alias("a0"), F.lit(1.0).alias("w0"))
+    args = (rows, models.CONSTRUCTS, ["a0"], ["w0"], [1, 1, -1, 1, 1])
+    fitted, losses = models.fit_latent(*args, anchors=[[0.6, 1.0, 0.5, 0.8, 0.5]])
+    # Either the 300 steps of the reference, or 35 steps that gain too little.
+    assert len(losses) == 300 or min(losses[-35:]) > min(losses[:-35]) - 36e-5
+    tight, _ = models.fit_latent(*args, anchors=[[0.6, 1.0, 0.5, 0.8, 0.5]], anchor_ridge=1e4, steps=40)
+    load = np.log1p(np.exp(tight.loadings))
+    assert np.abs(load - [[0.6, 1.0, 0.5, 0.8, 0.5]]).max() < 0.05
+
+
+def test_person_residuals_are_stationary():
+    rng = np.random.default_rng(2)
+    base, a, w = rng.normal(size=(200, 5)), rng.integers(0, 2, (200, 3)).astype(float), rng.integers(0, 2, (200, 3)).astype(float)
+    load, beta, sign, c = rng.uniform(0.3, 1, (3, 5)), rng.normal(size=3), np.array([1.0, 1, -1, 1, 1]), 0.1
+    u = models.person_residuals(base, np.zeros((200, 5)), a, w, beta, load, sign, c)
+    th = np.tanh(base + u)
+    z = beta + (2 * th * sign) @ load.T
+    g = ((w * (1 / (1 + np.exp(-z)) - a)) @ load) * sign * 2 * (1 - th**2) + 2 * c * u
+    assert np.abs(g).max() < 1e-4 and (u[w.sum(1) == 0] == 0).all()
