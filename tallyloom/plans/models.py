@@ -90,7 +90,7 @@ def q_kmeans_medoids(spark, d):
 
 
 def q_classifiers(spark, d):
-    """Test probabilities of the linear and boosted classifiers on imputed, scaled scores."""
+    """Test probabilities of ``logistic`` and ``linear_svc`` on imputed, scaled scores; no query runs the other classifiers."""
     s = split_scores(spark, d)
     f = retrieval.fit_features(s, s.filter("split = 'memory'"), scores.PROXIES["v4"], [])
     f = f.select(F.col("source_row_index").alias("id"), "x", F.col("vaccinated").cast("int").alias("y"), "split")
