@@ -5,25 +5,36 @@ objects in place of lists, lone objects in place of lists) into one canonical ne
 ``from_json`` and higher-order functions. The Arrow buffers of that column are then flattened
 level by level: ``list_parent_indices`` gives for each child the row of its parent, ``take``
 propagates the keys through it, and offsets give the position within the parent. No Python code
-runs per row.
+runs per row, but for records whose containers lie below more than ``WRAPPERS`` levels: what the
+JVM has not opened then is brought into the same canonical lists by :func:`opened` and takes the
+same Arrow path, so any number of wrappers is opened (the JSON reader itself refuses texts nested
+more than 1,000 deep, which are unreadable).
+
+Every node has an id made of its input row and its positions on the way down, and the id of its
+parent. So two entries of one name, and a record that was sent twice, keep their own children.
+Ids hold within one computed node table; :func:`flat_tables` computes it once for all tables.
 
 Results for unusual input: a null, empty or unreadable payload has no nodes; so has an empty or
 null list. An entry without a name (a list element with no ``name``, ``stage`` or ``variable``)
-is no node. A null record id keeps its nodes with a null key. Repeated records give repeated
-nodes, :func:`found_nodes` makes them distinct. Other columns of the input are ignored, whatever
-their names. An empty table gives an empty table.
+is no node. A null record id keeps its nodes with a null key. Repeated records give nodes each
+under its own ids, :func:`found_nodes` makes paths distinct. Other columns of the input are
+ignored, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.durable import durable
+
 MAP, LIST = "map<string,string>", "array<string>"
 #: Spark accepts single quotes unless told otherwise; JSON does not.
 STRICT = {"allowSingleQuotes": "false"}
@@ -45,9 +56,12 @@ BRANCHES = (
     Branch("construct", ("hbm5_proxies", "constructs"), "name", (("components", "name"), ("items", "variable"))),
     Branch("step", ("corrected_reasoning_path",), "stage", (("evidence", "variable"),)),
 )
+CONTAINERS = tuple(k for b in BRANCHES for k in b.containers)
+#: Levels of wrappers that the JVM opens; deeper ones are opened in the Arrow step.
+WRAPPERS = 4
 NODE_SCHEMA = (
-    "record_id long, source_row_index long, branch string, depth int, node_path string,"
-    " parent_path string, name string, body string, ordinal int"
+    "record_id long, source_row_index long, branch string, depth int, node_id string, parent_id string,"
+    " node_path string, parent_path string, name string, body string, ordinal int"
 )
 
 
@@ -104,8 +118,8 @@ def _trees(texts: Column, b: Branch) -> Column:
     return F.flatten(F.transform(texts, lambda t: _tree(t, b.root_name, b.levels)))
 
 
-def canonical(df: DataFrame, payload: str = "payload", max_wrappers: int = 5) -> DataFrame:
-    """Add one canonical nested column per branch; wrappers are opened down to ``max_wrappers`` levels.
+def canonical(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add one canonical nested column per branch, and ``unopened``: texts below ``WRAPPERS`` levels.
 
     The payload is first read as the only element of a JSON list, which refuses cut texts and
     trailing text, and turns a payload that is itself a JSON string into its content.
@@ -113,8 +127,7 @@ def canonical(df: DataFrame, payload: str = "payload", max_wrappers: int = 5) ->
     whole = F.from_json(F.concat(F.lit("["), F.col(payload), F.lit("]")), LIST, STRICT)
     out = df.withColumn("__level", F.when(F.size(whole) == 1, whole))
     hits: list[list[Column]] = [[] for _ in BRANCHES]
-    keys = [k for b in BRANCHES for k in b.containers]
-    for i in range(max_wrappers):
+    for i in range(WRAPPERS + 1):
         maps = F.transform(
             F.filter("__level", lambda x: _is(x, "{")), lambda x: F.from_json(x, MAP, STRICT)
         )
@@ -125,7 +138,7 @@ def canonical(df: DataFrame, payload: str = "payload", max_wrappers: int = 5) ->
             out = out.withColumn(name, _held(F.col("__maps"), b.containers))
             hits[j].append(F.coalesce(F.col(name), F.array().cast(LIST)))
         inner = F.flatten(
-            F.transform("__maps", lambda m: F.map_values(F.map_filter(m, lambda k, v: ~k.isin(*keys))))
+            F.transform("__maps", lambda m: F.map_values(F.map_filter(m, lambda k, v: ~k.isin(*CONTAINERS))))
         )
         nested = lambda x: _is(x, "{") | _is(x, "[")
         out = out.withColumn(
@@ -139,22 +152,66 @@ def canonical(df: DataFrame, payload: str = "payload", max_wrappers: int = 5) ->
             b.label,
             _trees(F.concat(*hits[j]), b),
         )
+    return out.withColumn("unopened", F.col("__level"))
+
+
+def _read(text):
+    """The JSON value of a text; None where it is no list or object in strict JSON."""
+    if not isinstance(text, str) or text.lstrip()[:1] not in ("{", "["):
+        return text if isinstance(text, (dict, list)) else None
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _listed(value, name_field: str, levels) -> list[dict]:
+    """Canonical entries of one list, keyed object or lone object, down to the last level."""
+    value = _read(value)
+    if isinstance(value, list):
+        pairs = [(d[name_field], x) for x in value if isinstance(d := _read(x), dict) and d.get(name_field) is not None]
+    elif isinstance(value, dict):
+        pairs = [(value[name_field], value)] if value.get(name_field) is not None else list(value.items())
+    else:
+        pairs = []
+    out = []
+    for name, body in pairs:
+        entry = {"name": _text(name), "body": _text(body)}
+        if levels:
+            inner = _read(body)
+            entry["kids"] = _listed(inner.get(levels[0][0]) if isinstance(inner, dict) else None, levels[0][1], levels[1:])
+        out.append(entry)
+    return out
+
+
+def opened(text: str) -> list[list[dict]]:
+    """Per branch the canonical entries of a JSON text with containers at any depth."""
+    out: list[list[dict]] = [[] for _ in BRANCHES]
+    queue = [text]
+    while queue:
+        value = _read(queue.pop(0))
+        if isinstance(value, list):
+            queue.extend(value)
+        elif isinstance(value, dict):
+            for j, b in enumerate(BRANCHES):
+                for k in b.containers:
+                    out[j].extend(_listed(value.get(k), b.root_name, b.levels))
+            queue.extend(v for k, v in value.items() if k not in CONTAINERS)
     return out
 
 
-def _join_path(parent: pa.Array, name: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(parent, name, "/")
+def _same(n: int, value) -> pa.Array:
+    return pa.repeat(value, n)
 
 
-def _emit(keys: pa.Array, rows: pa.Array, branch: str, depth: int, path, parent, flat, ordinal) -> pa.RecordBatch:
-    n = len(path)
-    return pa.RecordBatch.from_arrays(
-        [
-            keys, rows, pa.array([branch], pa.string()).take(pa.nulls(n, pa.int32()).fill_null(0)),
-            pa.nulls(n, pa.int32()).fill_null(depth), path, parent, flat.field("name"), flat.field("body"), ordinal,
-        ],
-        names=["record_id", "source_row_index", "branch", "depth", "node_path", "parent_path", "name", "body", "ordinal"],
-    )
+def _counted(ids: pa.Array, ordinal: pa.Array, mark: str) -> pa.Array:
+    return pc.binary_join_element_wise(ids, ordinal.cast(pa.string()), mark)
 
 
 def _children(lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -162,58 +219,77 @@ def _children(lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
     parent = pc.list_parent_indices(lists).cast(pa.int64())
     first = lists.offsets.slice(0, len(lists)).cast(pa.int64())
     start = pc.subtract(first, lists.offsets[0].as_py()) if len(lists) else first
-    ordinal = pc.subtract(pa.array(range(len(parent)), pa.int64()), start.take(parent)).cast(pa.int32())
+    ordinal = pc.subtract(pa.array(np.arange(len(parent))), start.take(parent)).cast(pa.int32())
     return parent, lists.flatten(), ordinal
 
 
+def _levels(b: Branch, lists: pa.Array, keys: dict[str, pa.Array], ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The nodes of one branch, level by level; ``ids``: what the ids of the first level begin with."""
+    path, mark = None, b.label[0]
+    for depth in range(len(b.levels) + 1):
+        at, flat, ordinal = _children(lists)
+        n = len(at)
+        if not n:
+            return
+        keys = {k: v.take(at) for k, v in keys.items()}
+        above = ids.take(at)
+        ids = _counted(above, ordinal, mark)
+        parent = path.take(at) if path is not None else _same(n, b.containers[-1])
+        named = flat.field("name")
+        path = named if b.label == "construct" and depth == 0 else pc.binary_join_element_wise(parent, named, "/")
+        cols = {
+            **keys, "branch": _same(n, b.label), "depth": _same(n, pa.scalar(depth, pa.int32())), "node_id": ids,
+            "parent_id": above if depth else pa.nulls(n, pa.string()), "node_path": path, "parent_path": parent, "name": named,
+            "body": flat.field("body"), "ordinal": ordinal,
+        }
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        mark = "."
+        if depth < len(b.levels):
+            lists = flat.field("kids")
+
+
 def flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow kernel: canonical nested columns in, node rows out, level by level."""
     for batch in batches:
+        keys = {k: batch.column(k) for k in ("record_id", "source_row_index")}
+        ids = batch.column("row").cast(pa.string())
         for b in BRANCHES:
-            keys, rows = batch.column("record_id"), batch.column("source_row_index")
-            lists, path = batch.column(b.label), None
-            for depth in range(len(b.levels) + 1):
-                at, flat, ordinal = _children(lists)
-                if not len(at):
-                    break
-                keys, rows = keys.take(at), rows.take(at)
-                parent = path.take(at) if path is not None else pa.array([b.containers[-1]]).take(pa.nulls(len(at), pa.int32()).fill_null(0))
-                named = flat.field("name")
-                if b.label == "construct" and depth == 0:
-                    path = named
-                else:
-                    path = _join_path(parent, named)
-                yield _emit(keys, rows, b.label, depth, path, parent, flat, ordinal)
-                if depth < len(b.levels):
-                    lists = flat.field("kids")
+            yield from _levels(b, batch.column(b.label), keys, ids)
+        at, texts, ordinal = _children(batch.column("unopened"))
+        if len(at):
+            trees = [opened(t) for t in texts.to_pylist()]
+            deep, deep_ids = {k: v.take(at) for k, v in keys.items()}, _counted(ids.take(at), ordinal, "w")
+            for j, b in enumerate(BRANCHES):
+                yield from _levels(b, pa.array([t[j] for t in trees], batch.schema.field(b.label).type), deep, deep_ids)
 
 
 def node_table(df: DataFrame) -> DataFrame:
-    """All nodes of all records; parent_path names the parent node of the same record."""
-    slim = df.select("record_id", "source_row_index", "payload")
-    nested = canonical(slim).select("record_id", "source_row_index", *[b.label for b in BRANCHES])
+    """All nodes of all records; ``parent_id`` is null for the first level."""
+    slim = df.select("record_id", "source_row_index", "payload").withColumn("row", F.monotonically_increasing_id())
+    nested = canonical(slim).select("row", "record_id", "source_row_index", "unopened", *[b.label for b in BRANCHES])
     return nested.mapInArrow(flatten_batches, NODE_SCHEMA)
 
 
 def flat_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """The related flat tables: constructs, components, items, steps, evidence."""
-    nodes = node_table(df)
+    """The related flat tables: constructs, components, items, steps, evidence.
+
+    The node table is computed once and kept, so payloads are parsed once for all five and the
+    ids of one table are those of the others.
+    """
+    nodes = durable(node_table(df))
     field = lambda k: F.get_json_object("body", f"$.{k}")
     pick = lambda branch, depth: nodes.filter((F.col("branch") == branch) & (F.col("depth") == depth))
-    link = ["record_id", "source_row_index", "node_path", "parent_path", "ordinal", "name"]
+    link = ["record_id", "source_row_index", "node_id", "parent_id", "node_path", "parent_path", "ordinal", "name"]
     value = F.when(_is(F.col("body"), "{"), field("value")).otherwise(F.col("body"))
+    coded = [field("code").try_cast("int").alias("code"), field("weight").try_cast("double").alias("weight")]
     return {
         "constructs": pick("construct", 0).select(*link, field("score").try_cast("double").alias("score")),
         "components": pick("construct", 1).select(*link, value.try_cast("double").alias("value")),
-        "items": pick("construct", 2).select(
-            *link, field("code").try_cast("int").alias("code"), field("weight").try_cast("double").alias("weight")
-        ),
+        "items": pick("construct", 2).select(*link, *coded),
         "steps": pick("step", 0).select(
             *link, F.when(_is(F.col("body"), "{"), field("text")).otherwise(F.col("body")).alias("text")
         ),
-        "evidence": pick("step", 1).select(
-            *link, field("code").try_cast("int").alias("code"), field("weight").try_cast("double").alias("weight")
-        ),
+        "evidence": pick("step", 1).select(*link, *coded),
     }
 
 

@@ -64,6 +64,27 @@ def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.node_table(table(spark, d, "nested_records"))
 
 
+def _flat(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.flat_tables(table(spark, d, "nested_records"))[name]
+
+    run.__name__ = f"p1_{name}"
+    return run
+
+
+FLAT = tuple(_flat(n) for n in ("constructs", "components", "items", "steps", "evidence"))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per branch and level: nodes, distinct ids, and nodes whose parent is not in the table."""
+    nodes = nested.durable(nested.node_table(table(spark, d, "nested_records")).select("branch", "depth", "node_id", "parent_id"))
+    ids = nodes.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
+    lost = F.count_if((F.col("depth") > 0) & F.col("known").isNull())
+    return nodes.join(ids, "parent_id", "left").groupBy("branch", "depth").agg(
+        F.count("*").alias("nodes"), F.countDistinct("node_id").alias("ids"), lost.alias("without_parent")
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return fills(spark, d).select("source_row_index", "field_name").distinct()
 
@@ -78,7 +99,7 @@ def p2_filled_table(spark: SparkSession, d: str) -> DataFrame:
     return filled_table(base.select(*keep), "source_row_index", _fields(), fills(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_nodes, p2_found, p2_fills, p2_filled_table)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_nodes, *FLAT, p1_links, p2_found, p2_fills, p2_filled_table)}
 
 #: SQL counterparts (DuckDB).
 SQL = {
