@@ -86,7 +86,8 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return fills(spark, d).select("source_row_index", "field_name").distinct()
+    """The missing values that were filled from a donor."""
+    return fills(spark, d).filter("was_filled").select("source_row_index", "field_name").distinct()
 
 
 def p2_fills(spark: SparkSession, d: str) -> DataFrame:
@@ -99,15 +100,48 @@ def p2_filled_table(spark: SparkSession, d: str) -> DataFrame:
     return filled_table(base.select(*keep), "source_row_index", _fields(), fills(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_nodes, *FLAT, p1_links, p2_found, p2_fills, p2_filled_table)}
+def p2_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: missing and filled values, fills that are illegal or differ from their donor's value."""
+    base = _survey(spark, d)
+    names = [f.name for f in FILL_FIELDS]
+    seen = base.select(F.col("source_row_index").alias("donor_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).cast("double").alias("observed")) for n in names])).alias("v")).select("donor_id", "v.*")
+    legal = F.lit(False)
+    for f in FILL_FIELDS:
+        legal = F.when(F.col("field_name") == f.name, f.legal(F.col("filled_value"))).otherwise(legal)
+    return fills(spark, d).join(seen, ["donor_id", "field_name"], "left").groupBy("field_name").agg(
+        F.count("*").alias("n_missing"), F.count_if("was_filled").alias("n_filled"), F.count_if(~legal).alias("n_illegal"),
+        F.count_if(~F.col("filled_value").eqNullSafe(F.col("observed"))).alias("n_not_of_donor"),
+    )
+
+
+def p2_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Fills of observed values that were held out (5 % by hash) against these values."""
+    base = _survey(spark, d)
+    ids, masked, pairs = F.col("source_row_index"), {}, []
+    for f in _fields():
+        held = f.legal(F.col(f.name).cast("double")) & (F.pmod(F.xxhash64(ids, F.lit(f.name)), F.lit(20)) == 0)
+        masked[f.name] = F.when(~held, F.col(f.name))
+        pairs.append(F.when(held, F.struct(F.lit(f.name).alias("field_name"), F.col(f.name).cast("double").alias("truth"))))
+    truth = base.select("source_row_index", F.explode(F.array(*pairs)).alias("t")).filter("t is not null").select("source_row_index", "t.*")
+    got = impute(base.withColumns(masked), "source_row_index", _fields(), _features(), GROUPS)
+    means = truth.groupBy("field_name").agg(F.avg("truth").alias("m"))
+    both = truth.join(got, ["source_row_index", "field_name"], "left").join(F.broadcast(means), "field_name")  # one row a field
+    return both.groupBy("field_name").agg(
+        F.count("*").alias("n_held"), F.count("filled_value").alias("n_filled"), F.avg(F.abs(F.col("filled_value") - F.col("truth"))).alias("error"),
+        F.avg(F.abs(F.col("m") - F.col("truth"))).alias("error_of_mean"), F.avg((F.col("filled_value") == F.col("truth")).cast("double")).alias("same_share"),
+        F.avg("truth").alias("mean_truth"), F.avg("filled_value").alias("mean_filled"), F.stddev_pop("truth").alias("sd_truth"), F.stddev_pop("filled_value").alias("sd_filled"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_nodes, *FLAT, p1_links, p2_found, p2_fills, p2_filled_table, p2_summary, p2_quality)}
 
 #: SQL counterparts (DuckDB).
-SQL = {
-    "p2_found": """
+MISSING = """
         WITH r AS (SELECT * FROM respondents WHERE source_row_index IS NOT NULL
                    QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY loaded_at DESC NULLS LAST) = 1),
         s AS (SELECT * FROM hbm_scores WHERE source_row_index IS NOT NULL
-              QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY scored_at DESC NULLS LAST) = 1)
+              QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY scored_at DESC NULLS LAST) = 1),
+        missing AS (
         SELECT source_row_index, 'ratcat_a' AS field_name FROM r
         WHERE NOT coalesce(ratcat_a = floor(ratcat_a) AND ratcat_a BETWEEN 1 AND 14, false)
         UNION ALL SELECT source_row_index, 'phstat_a' FROM r
@@ -115,6 +149,10 @@ SQL = {
         UNION ALL SELECT source_row_index, 'region' FROM r
         WHERE NOT coalesce(region = floor(region) AND region BETWEEN 1 AND 4, false)
         UNION ALL SELECT source_row_index, 'structural_barrier_proxy' FROM s
-        WHERE NOT coalesce(structural_barrier_proxy BETWEEN 0 AND 5, false)
-    """,
+        WHERE NOT coalesce(structural_barrier_proxy BETWEEN 0 AND 5, false))
+"""
+SQL = {
+    "p2_found": f"{MISSING} SELECT source_row_index, field_name FROM missing",
+    "p2_summary": f"""{MISSING} SELECT field_name, count(*) AS n_missing, count(*) AS n_filled, CAST(0 AS BIGINT) AS n_illegal, CAST(0 AS BIGINT) AS n_not_of_donor
+                      FROM missing GROUP BY field_name""",
 }

@@ -78,3 +78,22 @@ def test_edges(spark):
     lone = spark.createDataFrame([(1, "x", 1.0, 0.0, None, 1.0, 1.0, True, ""), (2, "y", 2.0, 9.0, 4.0, 1.0, 1.0, True, "")], SCHEMA)
     r = run(lone, opt=Matching(caliper=0)).filter("field_name = 'a'").first()
     assert (r.donor_id, r.filled_value, r.group_level) == (2, 4.0, 2)
+
+
+def test_every_donor_of_a_hot_cell_can_be_drawn(spark):
+    # One cell holds all rows: more donors are drawn than any fixed number of slots allows.
+    rows = [(i, "hot", 2020.0, 0.0, None if i % 3 == 0 else float(1 + i % 9), 1.0, 1.0, True, "") for i in range(6000)]
+    got = run(spark.createDataFrame(rows, SCHEMA)).filter("field_name = 'a'").collect()
+    assert len(got) == 2000 and all(r.was_filled for r in got)
+    assert len({r.donor_id for r in got}) > 1300
+    few = [(i, "hot", 2020.0, 0.0, 4.0 if i == 7 else None, 1.0, 1.0, True, "") for i in range(30_000)]
+    got = run(spark.createDataFrame(few, SCHEMA)).filter("field_name = 'a'")
+    assert got.count() == 29_999 and got.filter("donor_id <> 7 or not was_filled").count() == 0
+
+
+def test_far_predictions_keep_their_own_cells(spark):
+    from tallyloom.operators.impute import grid
+
+    z = [0.0, 1.4, -3.0, 512.0, 1024.0, 2048.0, -1e300, 1e308]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(grid(F.col("z"), 512)).collect()]
+    assert got[:4] == [0, 1, -3, 512] and 512 < got[4] < got[5] < got[7] and got[6] < -5000
