@@ -176,20 +176,22 @@ def impute(
     else:
         wide = base
     n_x, n_y = 1 + len(names) + last, max(1, *[len(f.codes) for f in fields])
-    flat = [*[c.alias(f"x_{i}") for i, c in enumerate(x)], *[f"e_{i}_{j}" for i in range(last) for j in range(len(fields))], *[f"y_{j}" for j in range(len(fields))]]
+    wide = wide.withColumns({f"x_{i}": c for i, c in enumerate(x)})
+    flat = [*[f"x_{i}" for i in range(len(x))], *[f"e_{i}_{j}" for i in range(last) for j in range(len(fields))], *[f"y_{j}" for j in range(len(fields))]]
     grams = wide.select(*flat).mapInArrow(_gram(names, fields, last, n_y), "f int, i int, j int, v double").groupBy("f", "i", "j").agg(F.sum("v").alias("v")).collect()
-    placed = ["id", *own]
+    predicted, placed = {}, ["id", *own]
     for j, f in enumerate(fields):
         g = np.zeros((n_x + n_y, n_x + n_y))
         for r in grams:
             if r["f"] == j:
                 g[r["i"], r["j"]] = r["v"]
         beta, sd, _ = _solve(g, n_x, len(f.codes) or 1, opt.ridge)
-        terms = [F.lit(0.0) if n == f.name else c for n, c in zip(names, x)] + [F.col(f"e_{i}_{j}") for i in range(last)]
-        p = sum((t * float(b) for t, b in zip(terms, beta[1:])), F.lit(float(beta[0])))
-        placed.append(F.when(F.col(f"a_{j}"), F.struct(F.lit(j).alias("f"), F.col(f"y_{j}").alias("y"), p.alias("p"), grid(p / (sd / opt.cells_per_sd), opt.even_cells).alias("cell"))).alias(f"v_{j}"))
+        terms = [f"x_{i}" if n != f.name else None for i, n in enumerate(names)] + [f"e_{i}_{j}" for i in range(last)]
+        predicted[f"p_{j}"] = sum((F.col(t) * float(b) for t, b in zip(terms, beta[1:]) if t), F.lit(float(beta[0])))
+        cell = grid(F.col(f"p_{j}") / (sd / opt.cells_per_sd), opt.even_cells)
+        placed.append(F.when(F.col(f"a_{j}"), F.struct(F.lit(j).alias("f"), F.col(f"y_{j}").alias("y"), F.col(f"p_{j}").alias("p"), cell.alias("cell"))).alias(f"v_{j}"))
     # Read below by the counts, the recipients and the donors.
-    kept = durable(wide.select(*placed))
+    kept = durable(wide.withColumns(predicted).select(*placed))
     rows = kept.select("id", *own, F.explode(F.filter(F.array(*[f"v_{j}" for j in range(len(fields))]), lambda v: v.isNotNull())).alias("v")).select("id", *own, "v.*")
     levels = [F.struct(F.lit(i).alias("lvl"), F.concat_ws("|", *[own[by.index(c)] for c in g]).alias("grp")) for i, g in enumerate(groups)]
     levels.append(F.struct(F.lit(last).alias("lvl"), F.lit("*").alias("grp")))
