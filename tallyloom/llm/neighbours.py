@@ -9,6 +9,9 @@
 3. Every row is a query. It is sent to its most probable partitions, until their probability
    reaches the model's ``cover``, and reranked there with exact cosines. Partitions are compared in
    blocks of ``block`` rows, so a hot partition is many small tasks.
+4. Measure: the exact neighbours of ``checked`` rows a matrix (chosen by a hash) are found by a scan
+   of all rows, and it is counted how many of them lie in partitions that the rows are sent to. A
+   matrix below ``least_recall`` is searched exactly, all its rows against all in blocks.
 
 The cover of a model is calibrated, so probes grow with the partitions: of queries and indexed rows
 that the model was not fitted on, the exact neighbours are looked up, and the cover is the least
@@ -16,9 +19,15 @@ probability by which the share of them that level may not lose is reached. All l
 may lose ``1 - recall``, the first half of it, each further one half of the one before. A sample is
 thinner than its node and its neighbours lie further away, so the figure errs on the safe side.
 
+A matrix of any size has a model. Nodes are divided until they have at most ``leaf`` rows; a node
+that its model does not divide (less than a tenth leaves its largest part) stays whole and is
+searched in blocks. Models are broadcast while they are small together; beyond that, they are joined to
+blocks of their rows.
+
 Exact copies: of each group of equal vectors only the ``k + 1`` smallest ids are indexed; by the
 tie rule (higher cosine, then smaller id) no other copy can be among anyone's k nearest. The other
-copies get the first k of their group, which is their exact result.
+copies get the first k of their group, which is their exact result. The smallest ids are limited
+before the shuffle and the others are joined with a salt, so no task holds a group of copies.
 
 Results for unusual input: null, zero, NaN, infinite and wrong-length vectors, null ids and
 matrices without a specification take no part. Repeated rows of an id count once. A matrix with
@@ -33,6 +42,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +54,7 @@ from tallyloom.functions.durable import durable
 @dataclass(frozen=True)
 class Learned:
     """``sample``: rows a model is fitted on; ``rows``: aimed rows a partition; ``recall``: aimed
-    share of the k nearest that is found."""
+    share of the k nearest that is found; ``checked``, ``least_recall``: see step 4."""
 
     sample: int = 4096
     rows: int = 1024
@@ -54,7 +65,8 @@ class Learned:
     epochs: int = 40
     recall: float = 0.98
     block: int = 4096
-    depth: int = 4
+    checked: int = 200
+    least_recall: float = 0.9
     seed: int = 5
 
 
@@ -62,6 +74,8 @@ class Learned:
 LEAST_HELD = 500
 #: Largest set of models that is broadcast, in bytes; a model has about 30 KB.
 MODEL_BYTES = 200_000_000
+#: Shares that the copies of a vector are spread over.
+SALTS = 16
 
 
 def unit(rows) -> np.ndarray:
@@ -69,6 +83,13 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def vectors_of(column) -> np.ndarray:
+    """Unit rows of an Arrow list column of equal lengths, without a Python object a row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest rows of each row (itself left out), in blocks."""
     k = min(k, len(x) - 1)
@@ -177,7 +198,12 @@ def calibrated_cover(model: dict[str, np.ndarray], xq: np.ndarray, iq: np.ndarra
 def _fit_udf(opt: Learned, k: int, recall: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, by = int(pdf["n"].iloc[0]), dict(list(pdf.groupby("role")))
-        x = unit(by["fit"]["v"])
+        fit = by.get("fit", pdf[:0])
+        if len(fit) < 4:  # tiny matrices: all rows, nothing is held out
+            fit, by = pdf.drop_duplicates("vec_id"), {}
+        if len(fit) < 2:
+            return pd.DataFrame({"node": pd.Series(dtype=str), "model": pd.Series(dtype=object)})
+        x = unit(fit["v"])
         parts = 2 ** int(np.clip(np.ceil(np.log2(max(2, n / opt.rows))), 1, np.log2(opt.fan)))
         parts = min(parts, 2 ** int(np.log2(max(2, len(x) // 4))))
         model = fit_router(x, parts, opt)
@@ -190,64 +216,118 @@ def _fit_udf(opt: Learned, k: int, recall: float):
     return run
 
 
-def _route_udf(models, home: bool):
-    """Send the rows of divided nodes on to their partitions (``home``: only to the most probable);
-    rows of other nodes pass."""
+ROUTED = "matrix_name string, vec_id long, v array<float>, node string"
+
+
+def _targets(model: dict, x: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and partitions of the rows sent on by a model (``home``: only to the most probable)."""
+    order, before = masses_before(route(model, x))
+    take = before <= (-1.0 if home else model["cover"] + 1e-9)
+    take[:, 0] = True
+    i, j = np.nonzero(take)
+    return i, order[i, j]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sent(rows: pa.Table, node: str, i: np.ndarray, part: np.ndarray) -> pa.Table:
+    names = np.array([f"{node}.{c}" for c in range(int(part.max()) + 1)], dtype=object)
+    at = rows.column_names.index("node")
+    return rows.take(pa.array(i)).set_column(at, "node", pa.array(names[part], pa.string()))
+
+
+def _route_batches(models, home: bool):
+    """Send the rows of divided nodes on to their partitions; rows of other nodes pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            for node, part in b.groupby("node", sort=False):
-                if node not in models.value:
-                    yield part
-                    continue
-                if node not in held:
-                    held[node] = pickle.loads(models.value[node])
-                order, before = masses_before(route(held[node], unit(part["v"])))
-                take = before <= (-1.0 if home else held[node]["cover"] + 1e-9)
-                take[:, 0] = True
-                i, j = np.nonzero(take)
-                out = part.iloc[i].copy()
-                out["node"] = [f"{node}.{c}" for c in order[i, j]]
-                yield out
+            rows = pa.Table.from_batches([b])
+            for node in pc.unique(b.column("node")).to_pylist():
+                part = rows.filter(pc.equal(rows.column("node"), node))
+                if node in models.value:
+                    if node not in held:
+                        held[node] = pickle.loads(models.value[node])
+                    part = _sent(part, node, *_targets(held[node], vectors_of(part.column("v")), home))
+                yield from part.to_batches()
 
     return run
 
 
-def _search_udf(k: int, limits: dict[str, float], opt: Learned):
+def _route_group(home: bool):
+    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
+        rows = rows.select(["matrix_name", "vec_id", "v", "node"])
+        if not rows.num_rows or not model.num_rows:
+            return rows
+        m = pickle.loads(model.column("model")[0].as_py())
+        return _sent(rows, rows.column("node")[0].as_py(), *_targets(m, vectors_of(rows.column("v")), home))
+
+    return run
+
+
+def _routed(rows: DataFrame, models: DataFrame, held, counts: DataFrame, home: bool, opt: Learned) -> DataFrame:
+    """One level of routing: by broadcast models (``held``), else by models joined to blocks of rows."""
+    if held is not None:
+        return rows.mapInArrow(_route_batches(held, home), ROUTED)
+    blocks = F.ceil(F.col("n") / opt.block).cast("int")
+    sized = rows.join(counts.select("node", blocks.alias("nb")), "node").withColumn("b", _block("nb", opt))
+    spread = models.join(counts, "node").select("node", "model", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+    done = sized.groupBy("node", "b").cogroup(spread.groupBy("node", "b")).applyInArrow(_route_group(home), ROUTED)
+    return done
+
+
+def _block(n: str, opt: Learned):
+    return F.pmod(F.xxhash64(F.lit(opt.seed), "vec_id"), F.col(n)).cast("int")
+
+
+FOUND = "matrix_name string, vec_id long, other_id long, cosine double"
+
+
+def best_pairs(xq: np.ndarray, iq: np.ndarray, xb: np.ndarray, ib: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, other id, cosine) of the k best rows of each query with a cosine of at least ``least``.
+
+    Ties with the k-th value are settled by the smaller id. ``ib`` must ascend.
+    """
+    out = []
+    for s in range(0, len(xq), 256):
+        sim = xq[s : s + 256] @ xb.T
+        sim[iq[s : s + 256, None] == ib[None, :]] = -np.inf
+        if len(ib) > k:
+            floor = np.full((len(sim), 1), max(least, -2.0))
+            many = np.flatnonzero((sim >= floor).sum(1) > k)
+            if len(many):
+                kth = -np.partition(-sim[many], k - 1, axis=1)[:, k - 1 : k]
+                floor[many] = np.maximum(floor[many], kth - 1e-12)
+        else:
+            floor = max(least, -2.0)
+        i, j = np.nonzero(sim >= floor)
+        c = np.clip(sim[i, j], -1.0, 1.0)
+        order = np.lexsort((ib[j], -c, i))
+        i, j, c = i[order], j[order], c[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k
+        out.append((iq[s + i[keep]], ib[j[keep]], c[keep]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _search(k: int, limits: dict[str, float]):
     """Exact cosines of a block of queries and a block of indexed rows; the best k a query."""
-    empty = pd.DataFrame({"matrix_name": [], "vec_id": [], "other_id": [], "cosine": []}).astype({"matrix_name": str, "vec_id": "int64", "other_id": "int64", "cosine": "float64"})
+    empty = pa.table({"matrix_name": pa.array([], pa.string()), "vec_id": pa.array([], pa.int64()), "other_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
 
-    def run(q: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(base):
+    def run(q: pa.Table, base: pa.Table) -> pa.Table:
+        if not q.num_rows or not base.num_rows:
             return empty
-        base = base.sort_values("vec_id", kind="stable")
-        name = q["matrix_name"].iloc[0]
-        xq, xb = unit(q["v"]), unit(base["v"])
-        iq, ib = q["vec_id"].to_numpy(np.int64), base["vec_id"].to_numpy(np.int64)
-        rows = []
-        for s in range(0, len(xq), 256):
-            sim = xq[s : s + 256] @ xb.T
-            sim[iq[s : s + 256, None] == ib[None, :]] = -np.inf
-            if len(ib) > k:
-                # Keep ties with the k-th value here; the final rank settles them by id.
-                floor = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
-                keep = sim >= np.maximum(floor - 1e-12, limits.get(name, -np.inf))
-            else:
-                keep = sim >= limits.get(name, -2.0)
-            i, j = np.nonzero(keep & (sim > -2))
-            best = pd.DataFrame({"vec_id": iq[s + i], "other_id": ib[j], "cosine": np.clip(sim[i, j], -1.0, 1.0)})
-            best = best.sort_values(["vec_id", "cosine", "other_id"], ascending=[True, False, True], kind="stable")
-            rows.append(best.groupby("vec_id", sort=False).head(k))
-        out = pd.concat(rows)
-        out.insert(0, "matrix_name", name)
-        return out
+        base = base.sort_by("vec_id")
+        name = q.column("matrix_name")[0].as_py()
+        ids = [t.column("vec_id").to_numpy() for t in (q, base)]
+        a, b, c = best_pairs(vectors_of(q.column("v")), ids[0], vectors_of(base.column("v")), ids[1], k, limits.get(name, -2.0))
+        return pa.table({"matrix_name": pa.repeat(name, len(a)), "vec_id": pa.array(a, pa.int64()), "other_id": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     return run
 
 
 def valid_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
-    """matrix_name, vec_id, v (array of float), dims, k, min_cosine of the rows that take part."""
+    """matrix_name, vec_id, v (array of float), k, min_cosine of the rows that take part."""
     s = F.broadcast(specs.select("matrix_name", "dims", "k", "min_cosine"))  # one row a matrix
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return (
@@ -261,77 +341,136 @@ def valid_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Learned = Learned(), only_similar: bool = False) -> DataFrame:
-    """matrix_name, vec_id, other_id, cosine, rank (1 to k) of every valid vector.
+def _exact_sample(base: DataFrame, k: int, opt: Learned) -> DataFrame:
+    """matrix_name, vec_id, other_id: exact k nearest rows of the checked rows of each matrix."""
+    counts = base.groupBy("matrix_name").agg(F.count("*").alias("n"))
+    chosen = base.join(F.broadcast(counts), "matrix_name")  # one row a matrix
+    draw = F.pmod(F.xxhash64(F.lit(opt.seed + 77), "vec_id"), F.lit(1_000_003)) / 1_000_003
+    rows = chosen.filter(draw < opt.checked / F.col("n")).select("matrix_name", "vec_id", "v").toArrow()  # about ``checked`` a matrix
+    asked = {}
+    for name in pc.unique(rows.column("matrix_name")).to_pylist():
+        part = rows.filter(pc.equal(rows.column("matrix_name"), name))
+        asked[name] = (part.column("vec_id").to_numpy(), vectors_of(part.column("v")))
+    held = base.sparkSession.sparkContext.broadcast(asked)
 
-    ``only_similar``: keep neighbours of at least ``min_cosine`` (applied before the k best are
-    chosen, which gives the same rows and moves fewer).
-    """
-    spec = {r["matrix_name"]: (r["k"], r["min_cosine"]) for r in specs.select("matrix_name", "k", "min_cosine").collect()}
-    k = max([v[0] for v in spec.values()], default=1)
-    limits = {m: v[1] for m, v in spec.items()} if only_similar else {}
-    copies = Window.partitionBy("matrix_name", "v").orderBy("vec_id")
-    # Read at every level below: by counts, samples and routing.
-    ranked = durable(valid_vectors(vectors, specs).withColumn("copy", F.row_number().over(copies)))
-    index = ranked.filter(F.col("copy") <= k + 1).select("matrix_name", "vec_id", "v", F.col("matrix_name").alias("node"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in set(b.column("matrix_name").to_pylist()) & set(held.value):
+                part = pa.Table.from_batches([b]).filter(pc.equal(b.column("matrix_name"), name)).sort_by("vec_id")
+                ids, x = held.value[name]
+                q, o, c = best_pairs(x, ids, vectors_of(part.column("v")), part.column("vec_id").to_numpy(), k, -2.0)
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(q)), pa.array(q), pa.array(o), pa.array(c)], names=["matrix_name", "vec_id", "other_id", "cosine"])
+
+    w = Window.partitionBy("matrix_name", "vec_id").orderBy(F.col("cosine").desc(), "other_id")
+    near = base.select("matrix_name", "vec_id", "v").mapInArrow(run, FOUND)
+    return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn", "cosine")
+
+
+def _divided(spark: SparkSession, index: DataFrame, k: int, opt: Learned) -> tuple[DataFrame, DataFrame]:
+    """Indexed rows with their node, and rows as queries with every node they are sent to."""
     base = query = index
-    frontier: dict[str, int] = {}
-    for level in range(opt.depth):
-        counts = base.groupBy("node").count()
-        # Below the root only nodes over the leaf size are divided.
-        big = {r["node"]: r["count"] for r in counts.filter(F.col("count") > (opt.leaf if level else 2 * opt.rows)).collect()}
-        frontier = {n: c for n, c in big.items() if n.count(".") == level or level == 0}
+    done: set[str] = set()
+    level, parents = 0, {}
+    while True:
+        sizes = {r["node"]: r["count"] for r in base.groupBy("node").count().collect()}  # one row a node, of about ``rows`` rows each
+        for n, c in sizes.items():
+            if c > 0.9 * parents.get(n.rpartition(".")[0], float("inf")):
+                done.add(n)  # its model does not divide it
+        frontier = {n: c for n, c in sizes.items() if n not in done and (c > opt.leaf or level == 0) and c > 1}
         if not frontier:
-            break
-        # At the root all rows are queries; below it a node is searched for rows of other nodes too.
-        asked = frontier if not level else {r["node"]: r["count"] for r in query.filter(F.col("node").isin(list(frontier))).groupBy("node").count().collect()}
+            return base, query
+        parents = frontier
+        asked = {r["node"]: r["count"] for r in query.groupBy("node").count().collect()} if level else frontier
+        plan = [(n, c, min(opt.sample / c, 2 / 3), opt.sample / max(1, asked.get(n, c))) for n, c in frontier.items()]
+        nodes = F.broadcast(spark.createDataFrame(plan, "node string, n long, fit_rate double, ask_rate double"))  # about 40 bytes a node
         # Two thirds of the sampled rows are fitted on, the rest is held out.
-        fit_rate, ask_rate, size = F.lit(0.0), F.lit(0.0), F.lit(0)
-        for n, c in frontier.items():
-            fit_rate = F.when(F.col("node") == n, F.lit(min(opt.sample / c, 2 / 3))).otherwise(fit_rate)
-            ask_rate = F.when(F.col("node") == n, F.lit(opt.sample / asked.get(n, c))).otherwise(ask_rate)
-            size = F.when(F.col("node") == n, F.lit(c)).otherwise(size)
         draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_003)) / 1_000_003
         u = draw(opt.seed + level)
-        role = F.when(u < fit_rate, "fit").when(u < 1.5 * fit_rate, "base")
-        inside = F.col("node").isin(list(frontier))
-        cols = lambda r: ("node", "vec_id", "v", size.alias("n"), r.alias("role"))
-        sample = base.filter(inside).select(*cols(role)).filter("role is not null")
-        queries = query.filter(inside & (u >= fit_rate) & (draw(opt.seed + level + 1000) < ask_rate)).select(*cols(F.lit("query")))
+        role = F.when(u < F.col("fit_rate"), "fit").when(u < 1.5 * F.col("fit_rate"), "base")
+        cols = lambda r: ("node", "vec_id", "v", "n", r.alias("role"))
+        sample = base.join(nodes, "node").select(*cols(role)).filter("role is not null")
+        queries = query.join(nodes, "node").filter((u >= F.col("fit_rate")) & (draw(opt.seed + level + 1000) < F.col("ask_rate"))).select(*cols(F.lit("query")))
         keep = 1 - (1 - opt.recall) / 2 ** (level + 1)
         udf = _fit_udf(replace(opt, seed=opt.seed + level), k, keep)
-        fitted = sample.unionByName(queries).groupBy("node").applyInPandas(udf, "node string, model binary").collect()
-        total = sum(len(r["model"]) for r in fitted)
-        if total > MODEL_BYTES:
-            raise ValueError(f"the models of level {level} have {total} bytes; raise Learned.rows or Learned.leaf")
-        models = spark.sparkContext.broadcast({r["node"]: bytes(r["model"]) for r in fitted})
-        schema = "matrix_name string, vec_id long, v array<float>, node string"
-        base = durable(base.mapInPandas(_route_udf(models, True), schema))
-        query = durable(query.mapInPandas(_route_udf(models, False), schema))
+        models = durable(sample.unionByName(queries).groupBy("node").applyInPandas(udf, "node string, model binary"))
+        total = models.agg(F.coalesce(F.sum(F.length("model")), F.lit(0))).first()[0]
+        held = spark.sparkContext.broadcast({r["node"]: bytes(r["model"]) for r in models.collect()}) if total <= MODEL_BYTES else None
+        asked_counts = spark.createDataFrame([(n, asked.get(n, c)) for n, c in frontier.items()], "node string, n long")
+        counts = spark.createDataFrame([(n, c) for n, c in frontier.items()], "node string, n long")
+        if held is not None:
+            base, query = durable(_routed(base, models, held, counts, True, opt)), durable(_routed(query, models, held, asked_counts, False, opt))
+        else:
+            rest = lambda df: df.join(F.broadcast(counts), "node", "left_anti").select("matrix_name", "vec_id", "v", "node")
+            base = durable(_routed(base, models, None, counts, True, opt).unionByName(rest(base)))
+            query = durable(_routed(query, models, None, asked_counts, False, opt).unionByName(rest(query)))
+        level += 1
+
+
+def _measured(base: DataFrame, query: DataFrame, k: int, opt: Learned) -> DataFrame:
+    """matrix_name, n_queries, n_neighbours, recall: exact neighbours that the routing reaches."""
+    exact = durable(_exact_sample(base, k, opt))
+    homes = base.select("matrix_name", F.col("vec_id").alias("other_id"), "node").join(F.broadcast(exact.select("matrix_name", "other_id").distinct()), ["matrix_name", "other_id"])
+    sent = query.select("matrix_name", "vec_id", "node").join(F.broadcast(exact.select("matrix_name", "vec_id").distinct()), ["matrix_name", "vec_id"]).withColumn("hit", F.lit(1))
+    both = exact.join(homes, ["matrix_name", "other_id"], "left").join(sent, ["matrix_name", "vec_id", "node"], "left")
+    return both.groupBy("matrix_name").agg(F.countDistinct("vec_id").alias("n_queries"), F.count("*").alias("n_neighbours"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def _index(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Learned):
+    spec = {r["matrix_name"]: (r["k"], r["min_cosine"]) for r in specs.select("matrix_name", "k", "min_cosine").collect()}
+    k = max([v[0] for v in spec.values()], default=1)
+    valid = durable(valid_vectors(vectors, specs).select("matrix_name", "vec_id", "v"))
+    copies = Window.partitionBy("matrix_name", "v").orderBy("vec_id")
+    # The filter makes the window a group limit: at most k + 1 copies of a task are shuffled.
+    first = durable(valid.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1))
+    index = first.select("matrix_name", "vec_id", "v", F.col("matrix_name").alias("node"))
+    base, query = _divided(spark, index, k, opt)
+    report = durable(_measured(base, query, k, opt).withColumn("exact_search", F.col("recall") < opt.least_recall))
+    return spec, k, valid, first, base, query, report
+
+
+def measured_recall(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Learned = Learned()) -> DataFrame:
+    """Per matrix: checked queries, their exact neighbours, the share reached, and whether the
+    matrix is searched exactly instead."""
+    return _index(spark, vectors, specs, opt)[-1]
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Learned = Learned(), only_similar: bool = False) -> DataFrame:
+    """matrix_name, vec_id, other_id, cosine, rank (1 to k) of every valid vector.
+
+    ``only_similar``: keep neighbours of at least ``min_cosine`` (applied before the k best are
+    chosen, which gives the same rows and moves fewer).
+    """
+    spec, k, valid, first, base, query, report = _index(spark, vectors, specs, opt)
+    limits = {m: v[1] for m, v in spec.items()} if only_similar else {}
+    exact = [r["matrix_name"] for r in report.filter("exact_search").select("matrix_name").collect()]
+    if exact:  # at most one name a matrix
+        weak = F.col("matrix_name").isin(exact)
+        base = base.withColumn("node", F.when(weak, F.col("matrix_name")).otherwise(F.col("node")))
+        query = query.withColumn("node", F.when(weak, F.col("matrix_name")).otherwise(F.col("node"))).dropDuplicates(["matrix_name", "vec_id", "node"])
     n_base = base.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nb"))
     n_query = query.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nq"))
     sizes = n_base.join(n_query, "node")
-    block = lambda n: F.pmod(F.xxhash64(F.lit(opt.seed), "vec_id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Where nothing was divided both sides are the same rows; fresh names keep their columns apart.
     own = lambda *names: [F.col(c).alias(c) for c in names]
-    b = base.join(sizes, "node").select(spread("nq").alias("qb"), block("nb").alias("bb"), *own("node", "vec_id", "v"))
-    q = query.join(sizes, "node").select(block("nq").alias("qb"), spread("nb").alias("bb"), *own("node", "matrix_name", "vec_id", "v"))
+    b = base.join(sizes, "node").select(spread("nq").alias("qb"), _block("nb", opt).alias("bb"), *own("node", "vec_id", "v"))
+    q = query.join(sizes, "node").select(_block("nq", opt).alias("qb"), spread("nb").alias("bb"), *own("node", "matrix_name", "vec_id", "v"))
     at = ["node", "qb", "bb"]
-    found = q.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(_search_udf(k, limits, opt), "matrix_name string, vec_id long, other_id long, cosine double")
+    found = q.groupBy(*at).cogroup(b.groupBy(*at)).applyInArrow(_search(k, limits), FOUND)
     # Copies beyond the indexed ones: the first k of their group.
-    rest = ranked.filter(F.col("copy") > k + 1).select("matrix_name", "v", "vec_id")
-    firsts = ranked.filter(F.col("copy") <= k).select("matrix_name", "v", F.col("vec_id").alias("other_id"))
-    same = rest.join(firsts, ["matrix_name", "v"]).select("matrix_name", "vec_id", "other_id", F.lit(1.0).alias("cosine"))
-    ks = F.lit(1)
-    for m, (mk, _) in spec.items():
-        ks = F.when(F.col("matrix_name") == m, F.lit(mk)).otherwise(ks)
+    full = first.groupBy("matrix_name", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("vec_id").alias("top")).filter(F.size("ids") > k)
+    full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = valid.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(full, ["matrix_name", "v", "salt"]).filter(F.col("vec_id") > F.col("top"))
+    same = rest.select("matrix_name", "vec_id", F.explode(F.slice("ids", 1, k)).alias("other_id"), F.lit(1.0).alias("cosine"))
+    ks = F.broadcast(spark.createDataFrame([(m, v[0]) for m, v in spec.items()], "matrix_name string, k int"))  # one row a matrix
     w = Window.partitionBy("matrix_name", "vec_id").orderBy(F.col("cosine").desc(), "other_id")
     return (
         found.unionByName(same)
         .dropDuplicates(["matrix_name", "vec_id", "other_id"])
         .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= ks)
+        .join(ks, "matrix_name")
+        .filter(F.col("rank") <= F.col("k"))
+        .drop("k")
     )
 
 

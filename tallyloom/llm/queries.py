@@ -23,6 +23,11 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(spark, table(spark, d, "similarity_vectors"), table(spark, d, "matrix_specs"))
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Measured recall of the routing, by exact search of checked rows."""
+    return neighbours.measured_recall(spark, table(spark, d, "similarity_vectors"), table(spark, d, "matrix_specs"))
+
+
 # Problem 4
 
 
@@ -146,7 +151,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc_id", "lang_code").agg(F.max("document_confidence").alias("confidence"), F.sum("n_sentences").alias("n_sentences"), F.max("needs_label").alias("needs_label"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p8_found, p8_segments, p8_labels)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p3_recall, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p8_found, p8_segments, p8_labels)}
 
 GRAMS = r"""SELECT DISTINCT {key} AS {key}, array_to_string(ws[i:i + 12], ' ') AS gram FROM
     (SELECT {key}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table} WHERE {key} IS NOT NULL) WHERE len(ws) >= 13)"""

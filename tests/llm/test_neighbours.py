@@ -39,7 +39,7 @@ def test_recall(spark, opt):
         got.setdefault(r.vec_id, set()).add(r.other_id)
     want = brute(x, 5)
     recall = np.mean([len(got.get(i, set()) & want[i]) / 5 for i in want])
-    assert recall >= (0.9 if opt is SMALL else 1.0)
+    assert recall >= (0.9 if opt is SMALL else 0.97)  # routed at every size
 
 
 def test_recall_with_many_partitions(spark):
@@ -83,3 +83,43 @@ def test_partitions_are_balanced():
     assert size.max() <= np.ceil(1.15 * 64) and size.min() > 20
     random = np.random.default_rng(2).permutation(np.repeat(np.arange(8), 64))
     assert (label[g] == label[:, None]).mean() > 2 * (random[g] == random[:, None]).mean()
+
+
+@pytest.mark.parametrize("n", [2, 3, 100, 250])
+def test_small_matrices_are_routed_too(spark, n):
+    rows, x = make(spark, n)
+    df = spark.createDataFrame(rows, SCHEMA)
+    base, query = N._divided(spark, N.valid_vectors(df, specs(spark)).select("matrix_name", "vec_id", "v", N.F.col("matrix_name").alias("node")), 5, N.Learned())
+    assert {r.node.count(".") for r in base.select("node").distinct().collect()} == {1}
+    got = {}
+    for r in N.nearest(spark, df, specs(spark)).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    want = brute(x, min(5, n - 1))
+    assert np.mean([len(got.get(i, set()) & want[i]) / len(want[i]) for i in want]) >= 0.9
+
+
+def test_weak_routing_is_noticed_and_repaired(spark):
+    rows, x = make(spark, 1200, 24)  # no structure: hard to divide
+    df, opt = spark.createDataFrame(rows, SCHEMA), N.Learned(sample=300, rows=32, recall=0.2)
+    report = N.measured_recall(spark, df, specs(spark, 24), opt).first()
+    assert report.recall < 0.9 and report.exact_search and report.n_neighbours == 5 * report.n_queries
+    got = {}
+    for r in N.nearest(spark, df, specs(spark, 24), opt).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    assert all(got[i] == s for i, s in brute(x, 5).items())
+
+
+def test_models_joined_to_blocks_give_the_same_routing(spark, monkeypatch):
+    rows, _ = make(spark, 600)
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda: sorted((r.vec_id, r.other_id) for r in N.nearest(spark, df, specs(spark), SMALL).collect())
+    one = key()
+    monkeypatch.setattr(N, "MODEL_BYTES", 0)
+    assert key() == one
+
+
+def test_nodes_that_cannot_be_divided_end(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones((400, 8)) + 1e-7 * rng.normal(size=(400, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", [float(v) for v in r], "", 0) for i, r in enumerate(x)], SCHEMA)
+    assert N.nearest(spark, df, specs(spark), N.Learned(sample=100, rows=16, leaf=32, fan=8)).groupBy("vec_id").count().filter("count = 5").count() == 400
