@@ -2,9 +2,10 @@
 
 ``take_prefix`` keeps, per group, the first rows of an order until a quota is met. Rows are first
 counted per (group, bin of the order key), with map-side combining; a window over the bins, at
-most ``bins`` rows a group, finds the bin in which the quota ends. Rows of earlier bins are kept
-whole, later ones dropped, and only the rows of that one bin are ranked. A group with a third of
-all rows thus ranks about 1/bins of them in one task.
+most ``bins`` rows a group, finds the bin in which the quota ends. Only this end, one row a group,
+is brought to the rows: rows of earlier bins are kept where they are, later ones dropped, and only
+the rows of that one bin are shuffled and ranked. A group with a third of all rows thus ranks about
+1/bins of them in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
+
+#: Most groups whose ends are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
+
 
 def unit_hash(seed: int, *cols: str | Column) -> Column:
     """A uniform number in (0, 1) from a hash of the columns; the same for the same values."""
@@ -31,33 +37,29 @@ def take_prefix(
     quota: str,
     size: str | None = None,
     bins: int = 4096,
+    mark: str | None = None,
 ) -> DataFrame:
     """Rows of each group in ascending (order, tie) until the quota is met.
 
     ``order``: column with values in [0, 1). ``size``: column to sum instead of counting rows; a
     row is kept while the sum of the rows before it is below the quota, so the last kept row may
-    pass it. ``quotas``: one row per group. Rows of groups without a quota, or with a null or
-    negative one, are dropped. Adds ``rank_in_bin`` (null for rows of bins kept whole).
+    pass it. ``quotas``: one row per group. Rows of groups without a quota, or with a null, zero or
+    negative one, are not taken. ``mark``: keep all rows and say in this column which are taken.
     """
     amount = F.col(size).cast("double") if size else F.lit(1.0)
     binned = df.withColumn("__bin", F.least(F.floor(F.col(order) * bins), F.lit(bins - 1)).cast("int"))
     w = Window.partitionBy(*groups).orderBy("__bin")
-    ends = (
-        binned.groupBy(*groups, "__bin")
-        .agg(F.sum(amount).alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(w))
-        .join(quotas.select(*groups, F.col(quota).cast("double").alias("__quota")), list(groups))
-        .filter("__upto - __n < __quota")
-        .select(*groups, "__bin", (F.col("__quota") - (F.col("__upto") - F.col("__n"))).alias("__room"), (F.col("__upto") <= F.col("__quota")).alias("__whole"))
-    )
-    kept = binned.join(ends, [*groups, "__bin"])
-    whole = kept.filter("__whole").withColumn("rank_in_bin", F.lit(None).cast("int"))
-    inner = Window.partitionBy(*groups, "__bin").orderBy(order, tie)
-    before = F.sum(amount).over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    part = (
-        kept.filter("not __whole")
-        .withColumns({"__before": F.coalesce(before, F.lit(0.0)), "rank_in_bin": F.row_number().over(inner)})
-        .filter("__before < __room")
-        .drop("__before")
-    )
-    return whole.unionByName(part).drop("__bin", "__room", "__whole")
+    counted = binned.groupBy(*groups, "__bin").agg(F.sum(amount).alias("__n")).withColumn("__upto", F.sum("__n").over(w))
+    wanted = quotas.select(*groups, F.col(quota).cast("double").alias("__quota")).filter("__quota > 0")
+    over = F.when(F.col("__upto") >= F.col("__quota"), F.struct("__bin", (F.col("__quota") - (F.col("__upto") - F.col("__n"))).alias("room")))
+    ends = counted.join(wanted, list(groups)).groupBy(*groups).agg(F.min(over).alias("e"))
+    ends = durable(ends.select(*groups, F.coalesce("e.__bin", F.lit(bins)).alias("__end"), F.coalesce("e.room", F.lit(0.0)).alias("__room")))
+    few = ends.count() <= BROADCAST_GROUPS
+    placed = binned.join(F.broadcast(ends) if few else ends, list(groups), "left" if mark else "inner")
+    inner = Window.partitionBy(*groups).orderBy(order, tie)
+    before = F.coalesce(F.sum(amount).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sure = F.col("__end").isNull() | (F.col("__bin") != F.col("__end"))
+    here = placed.filter(~sure).withColumn("__taken", before < F.col("__room"))
+    out = placed.filter(sure).withColumn("__taken", F.coalesce(F.col("__bin") < F.col("__end"), F.lit(False))).unionByName(here)
+    out = out.withColumnRenamed("__taken", mark) if mark else out.filter("__taken").drop("__taken")
+    return out.drop("__bin", "__room", "__end")
