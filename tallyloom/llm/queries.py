@@ -46,14 +46,24 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _allocation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pool = _pool(spark, d)
+    pool = durable(_pool(spark, d))  # counted and drawn from
     targets = _tree(table(spark, d, "sample_targets"))
     quotas = sampling.allocate(targets.drop("hbm8_pattern"), pool.groupBy(*PATH).agg(F.count("*").alias("n")), PATH)
-    return pool, quotas.join(targets.select("plan_id", *PATH, "hbm8_pattern"), ["plan_id", *PATH])
+    return pool, durable(quotas.join(targets.select("plan_id", *PATH, "hbm8_pattern"), ["plan_id", *PATH]))
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    pool, quotas = _allocation(spark, d)
+    return sampling.report(quotas, sampling.draw(pool, quotas, PATH, "source_row_index"), PATH)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _allocation(spark, d)[1].filter("short").select("plan_id", "hbm8_pattern", "shtflu12m_a").distinct()
+    """Cells that the drawn sample leaves short."""
+    return _sampled(spark, d).filter("short").select("plan_id", "hbm8_pattern", "shtflu12m_a").distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d).drop("motivation", "capability", "cue")
 
 
 def p4_allocation(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +75,16 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(pool, quotas, PATH, "source_row_index")
 
 
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan: rows asked for, drawn, drawn twice, and cells that got fewer than they have and want."""
+    pool, quotas = _allocation(spark, d)
+    drawn = durable(sampling.draw(pool, quotas, PATH, "source_row_index"))
+    r = sampling.report(quotas, drawn, PATH)
+    twice = drawn.groupBy("plan_id").agg((F.count("*") - F.countDistinct("source_row_index")).alias("n_twice"))
+    less = F.col("drawn") < F.least("asked", "available")
+    return r.groupBy("plan_id").agg(F.sum("asked").alias("n_asked"), F.sum("drawn").alias("n_drawn"), F.count_if(less).alias("n_cells_below")).join(twice, "plan_id", "left")
+
+
 # Problem 5
 
 
@@ -121,17 +141,36 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sizes, mixing.plan(sizes, table(spark, d, "mix_targets"))
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes, planned = _mix(spark, d)
+    planned = durable(planned)
+    return mixing.report(planned, mixing.draw(sizes, planned))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].filter("short").select("mix_id", "source").distinct()
+    """Sources that the drawn mix leaves short."""
+    return _mixed(spark, d).filter("short").select("mix_id", "source").distinct()
 
 
 def p7_sample(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(*_mix(spark, d))
+    sizes, planned = _mix(spark, d)
+    return mixing.draw(sizes, durable(planned))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per (mix, source): documents drawn too often, and whether the size misses its goal (the
+    budget, or all copies of a source that falls short) by a largest document or more."""
     sizes, planned = _mix(spark, d)
-    return mixing.report(planned, mixing.draw(sizes, planned))
+    planned = durable(planned)
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    r = mixing.report(planned, mixing.draw(sizes, planned)).join(longest, "source", "left")
+    goal = F.least("budget", F.col("source_tokens") * F.col("max_repeats"))
+    off = F.abs(F.col("got_tokens") - goal) > F.coalesce("longest", F.lit(0))
+    return r.select("mix_id", "source", F.coalesce(F.col("most_copies") > F.col("max_repeats"), F.lit(False)).alias("too_often"), off.alias("misses_goal"))
 
 
 # Problem 8
@@ -151,11 +190,25 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc_id", "lang_code").agg(F.max("document_confidence").alias("confidence"), F.sum("n_sentences").alias("n_sentences"), F.max("needs_label").alias("needs_label"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p3_recall, p4_found, p4_allocation, p4_sample, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p8_found, p8_segments, p8_labels)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest, p3_recall, p4_found, p4_report, p4_allocation, p4_sample, p4_totals, p5_found, p5_cuts, p5_rates, p6_found, p6_leaks, p6_items, p7_found, p7_sample, p7_report, p7_totals, p8_found, p8_segments, p8_labels)}
 
 GRAMS = r"""SELECT DISTINCT {key} AS {key}, array_to_string(ws[i:i + 12], ' ') AS gram FROM
     (SELECT {key}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table} WHERE {key} IS NOT NULL) WHERE len(ws) >= 13)"""
 
+POOL = """
+        WITH r AS (SELECT source_row_index, shtflu12m_a FROM respondents WHERE source_row_index IS NOT NULL
+                   QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY loaded_at DESC NULLS LAST) = 1),
+        s AS (SELECT source_row_index, regexp_replace(lower(hbm8_pattern), '[^a-z]+', '', 'g') AS p FROM hbm_scores
+              WHERE source_row_index IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY scored_at DESC NULLS LAST) = 1),
+        pool AS (SELECT p, CAST(shtflu12m_a AS INT) AS f FROM r JOIN s USING (source_row_index)
+                 WHERE shtflu12m_a IN (1, 2)
+                 AND regexp_full_match(p, '(low|high)motivation(low|high)capability(weak|strong)cue')),
+        n AS (SELECT p, f, count(*) AS n FROM pool GROUP BY ALL),
+        c AS (SELECT t.*, coalesce(n.n, 0) AS available, greatest(min_rows, target_share * sample_fraction * (SELECT count(*) FROM pool)) AS wanted
+              FROM sample_targets t LEFT JOIN n ON n.p = regexp_replace(lower(t.hbm8_pattern), '[^a-z]+', '', 'g') AND n.f = t.shtflu12m_a)
+"""
+
 SQL = {
     "p3_found": """
         WITH w AS (SELECT matrix_name, vec_id, any_value(embedding::DOUBLE[]) AS e, any_value(k) AS k, any_value(min_cosine) AS least
@@ -168,18 +221,8 @@ SQL = {
         SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM p WHERE c >= p.least
     """,
     "p6_found": f"SELECT DISTINCT item_id, doc_id FROM ({GRAMS.format(key='item_id', table='eval_items')}) JOIN ({GRAMS.format(key='doc_id', table='documents')}) USING (gram)",
-    "p4_found": """
-        WITH r AS (SELECT source_row_index, shtflu12m_a FROM respondents WHERE source_row_index IS NOT NULL
-                   QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY loaded_at DESC NULLS LAST) = 1),
-        s AS (SELECT source_row_index, regexp_replace(lower(hbm8_pattern), '[^a-z]+', '', 'g') AS p FROM hbm_scores
-              WHERE source_row_index IS NOT NULL
-              QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY scored_at DESC NULLS LAST) = 1),
-        pool AS (SELECT p, CAST(shtflu12m_a AS INT) AS f FROM r JOIN s USING (source_row_index)
-                 WHERE shtflu12m_a IN (1, 2)
-                 AND regexp_full_match(p, '(low|high)motivation(low|high)capability(weak|strong)cue')),
-        n AS (SELECT p, f, count(*) AS n FROM pool GROUP BY ALL)
-        SELECT plan_id, hbm8_pattern, t.shtflu12m_a FROM sample_targets t
-        LEFT JOIN n ON n.p = regexp_replace(lower(t.hbm8_pattern), '[^a-z]+', '', 'g') AND n.f = t.shtflu12m_a
-        WHERE coalesce(n.n, 0) < greatest(min_rows, target_share * sample_fraction * (SELECT count(*) FROM pool))
-    """,
+    "p4_found": f"{POOL} SELECT plan_id, hbm8_pattern, shtflu12m_a FROM c WHERE available < wanted",
+    "p4_totals": f"""{POOL} SELECT plan_id, CAST(sum(ceil(wanted)) AS BIGINT) AS n_asked, CAST(least(sum(ceil(wanted)), (SELECT count(*) FROM pool)) AS BIGINT) AS n_drawn,
+                     CAST(0 AS BIGINT) AS n_cells_below, CAST(0 AS BIGINT) AS n_twice FROM c GROUP BY plan_id""",
+    "p7_totals": "SELECT mix_id, source, false AS too_often, false AS misses_goal FROM mix_targets",
 }

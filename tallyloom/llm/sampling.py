@@ -14,6 +14,7 @@ made of windows over a plan's leaves.
 Results for unusual input: rows with an unreadable category are outside the pool; leaves without
 rows have their whole quota unmet; targets that are null count as 0. With an empty pool all
 quotas are 0. Repeated targets of one cell must not occur. A plan's total never exceeds the pool.
+Shares of counts are taken in decimal arithmetic, so counts may be as large as longs are.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def allocate(targets: DataFrame, pool_counts: DataFrame, path: list[str]) -> Dat
     ``targets``: plan_id, the path columns, target_share, min_rows, sample_fraction.
     ``pool_counts``: the path columns and n (rows of the pool).
     Adds ``available``, ``pool_size``, ``wanted`` (the larger of share and minimum, exact),
-    ``asked`` (whole rows), ``quota`` (rows to draw), ``received`` (from other leaves), ``short``.
+    ``asked`` (whole rows), ``quota`` (rows to draw), ``received`` (of it, from other leaves), ``short``
+    (own rows below ``wanted``), ``unmet`` (rows that no leaf could take over).
     """
     total = pool_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pool_size"))
     leaf = ["plan_id", *path]
@@ -50,7 +52,6 @@ def allocate(targets: DataFrame, pool_counts: DataFrame, path: list[str]) -> Dat
     t = t.withColumn("asked", F.ceil("wanted").cast("long"))
     t = t.withColumns(
         {
-            "short": F.col("wanted") > F.col("available"),
             "quota": F.least("asked", "available"),
             "unmet": F.greatest(F.col("asked") - F.col("available"), F.lit(0)),
             "spare": F.greatest(F.col("available") - F.col("asked"), F.lit(0)),
@@ -66,12 +67,13 @@ def allocate(targets: DataFrame, pool_counts: DataFrame, path: list[str]) -> Dat
         # Largest whole parts in proportion to the spare rows; cumulative rounding adds up exactly.
         upto = F.sum("spare").over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         left = F.sum("unmet").over(node.orderBy(F.col("unmet").desc(), *path).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cut = lambda cum, whole: F.when(whole > 0, F.floor(cum * F.col("__move") / whole)).otherwise(F.lit(0)).cast("long")
+        big = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+        cut = lambda cum, whole: F.when(F.col(whole) > 0, F.expr(f"{big(cum)} * {big('__move')} DIV {big(whole)}")).otherwise(F.lit(0).cast("long"))
         t = t.withColumns({"__upto": upto, "__left": left})
         t = t.withColumns(
             {
-                "__gain": cut(F.col("__upto"), F.col("__room")) - cut(F.col("__upto") - F.col("spare"), F.col("__room")),
-                "__gone": cut(F.col("__left"), F.col("__need")) - cut(F.col("__left") - F.col("unmet"), F.col("__need")),
+                "__gain": cut("__upto", "__room") - cut("__upto - spare", "__room"),
+                "__gone": cut("__left", "__need") - cut("__left - unmet", "__need"),
             }
         )
         t = t.withColumns(
@@ -80,7 +82,7 @@ def allocate(targets: DataFrame, pool_counts: DataFrame, path: list[str]) -> Dat
                 "spare": F.col("spare") - F.col("__gain"), "unmet": F.col("unmet") - F.col("__gone"),
             }
         ).drop("__move", "__room", "__need", "__upto", "__left", "__gain", "__gone")
-    return t.select(*leaf, "target_share", "min_rows", "sample_fraction", "pool_size", "available", "wanted", "asked", "quota", "received", "short", "unmet")
+    return t.select(*leaf, "target_share", "min_rows", "sample_fraction", "pool_size", "available", "wanted", "asked", "quota", "received", (F.col("quota") - F.col("received") < F.col("wanted")).alias("short"), "unmet")
 
 
 def draw(pool: DataFrame, quotas: DataFrame, path: list[str], key: str, seed: int = 11) -> DataFrame:
@@ -88,3 +90,17 @@ def draw(pool: DataFrame, quotas: DataFrame, path: list[str], key: str, seed: in
     rows = pool.select(key, *path).join(quotas.select("plan_id", *path), path)
     rows = rows.withColumn("__u", unit_hash(seed, "plan_id", key))
     return take_prefix(rows, ["plan_id", *path], "__u", key, quotas, "quota").select("plan_id", key, *path)
+
+
+def report(quotas: DataFrame, drawn: DataFrame, path: list[str]) -> DataFrame:
+    """The quotas with ``drawn`` rows, their ``actual_share`` of the plan's sample, and ``short``.
+
+    A cell is short if the rows drawn in it, without those it took over from other cells, are fewer
+    than wanted.
+    """
+    leaf = ["plan_id", *path]
+    n = quotas.select(*leaf, "quota", "received", "wanted").join(drawn.groupBy(*leaf).agg(F.count("*").alias("drawn")), leaf, "left")
+    n = n.withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    whole = F.sum("drawn").over(Window.partitionBy("plan_id"))  # one row a leaf
+    n = n.withColumns({"actual_share": F.coalesce(F.try_divide("drawn", whole), F.lit(0.0)), "short": F.col("drawn") - F.col("received") < F.col("wanted")})
+    return quotas.drop("short").join(n.select(*leaf, "drawn", "actual_share", "short"), leaf)

@@ -86,7 +86,41 @@ def test_token_sizes(spark):
     assert M.draw(empty, p).count() == 0 and M.report(p, M.draw(empty, p)).count() == 5
 
 
-def test_random_text_round_trip_of_pieces():
-    text = "ab cd " * 30_000 + "z" * 70_000
-    parts = M._pieces(text)
-    assert "".join(parts) == text and max(map(len, parts)) <= M.PIECE
+def test_counts_beyond_ten_billion(spark):
+    t = [(1, "a", "x", 0.5, 0, 1.0), (1, "a", "y", 0.3, 0, 1.0), (1, "b", "x", 0.2, 0, 1.0)]
+    targets = spark.createDataFrame(t, "plan_id int, p string, q string, target_share double, min_rows int, sample_fraction double")
+    counts = spark.createDataFrame([("a", "x", 1_000_000_000), ("a", "y", 9_000_000_000), ("b", "x", 6_000_000_000)], "p string, q string, n long")
+    got = S.allocate(targets, counts, ["p", "q"]).collect()
+    assert sum(r.quota for r in got) == sum(r.asked for r in got) == 16_000_000_000
+    assert all(r.quota <= r.available for r in got)
+
+
+def test_whole_texts_are_tokenised(spark):
+    import base64
+
+    import tiktoken
+
+    path = f"{M.VOCABULARY}/{M.FILE}"
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb") if x.strip())}
+    enc = tiktoken.Encoding("own", pat_str=M.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["Can't stop, l'été  2023!\n\n ", "word " * 12_000, "ab" * 30_000, "naïve_text — 中文 и русский \t\t x", " ", "1234567 89"]
+    df = spark.createDataFrame(list(enumerate([*texts, None, " " * 70_000 + "a"])), "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r.n_tokens for r in M.token_sizes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(enc.encode_ordinary(t)) for t in texts]
+    assert got[len(texts)] == 0 and got[len(texts) + 1] > 1
+
+
+def test_unequal_weights_meet_the_budget(spark):
+    docs = [(i, "s", 10, 100.0 if i < 20 else 1.0 if i % 2 else 3.0) for i in range(1000)] + [(1000, "s", 10, None), (1001, "s", 10, -1.0), (1002, "t", 8000, 0.0)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, weight double")
+    targets = spark.createDataFrame([(1, "s", 0.5, 2, 0.5), (2, "s", 0.9, 3, 2.0), (3, "t", 1.0, 2, 0.1)], "mix_id int, source string, target_share double, max_repeats int, budget_fraction double")
+    planned = M.plan(sizes, targets)
+    drawn = M.draw(sizes, planned)
+    r = {x.mix_id: x for x in M.report(planned, drawn).collect()}
+    assert abs(r[1].got_tokens - r[1].budget) <= 10 and not r[1].short
+    assert r[2].got_tokens == 1000 * 3 * 10 and r[2].got_tokens < r[2].budget
+    assert r[3].got_tokens == 0
+    n = {x.doc_id: x.n_copies for x in drawn.filter("mix_id = 1").collect()}
+    assert all(n[i] == 2 for i in range(20)) and not {1000, 1001} & set(n)
+    odd, even = sum(n.get(i, 0) for i in range(21, 1000, 2)), sum(n.get(i, 0) for i in range(20, 1000, 2))
+    assert 2.2 < even / odd < 4
