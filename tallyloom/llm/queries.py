@@ -121,7 +121,7 @@ def _leaks(spark: SparkSession, d: str, opt: leakage.Walks = leakage.Walks()) ->
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, leakage.EXACT).filter("edits = 0").select("item_id", "doc_id").distinct()
+    return _leaks(spark, d, leakage.EXACT).filter("exact_windows > 0").select("item_id", "doc_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -32,7 +32,7 @@ def brute(docs, items, width=13):
     return {(i, d) for d, t in enumerate(docs) for w in [L.words(t)] for s in range(len(w) - width + 1) for i in grams.get(tuple(w[s : s + width]), ())}
 
 
-@pytest.mark.parametrize("opt", [L.Walks(), L.Walks(block_windows=60, slice_windows=7)], ids=["one block", "many blocks"])
+@pytest.mark.parametrize("opt", [L.Walks(), L.Walks(index_windows=60, slice_windows=7)], ids=["index", "joined"])
 def test_exact_passages_against_brute_force(spark, opt):
     docs, items = corpus(1), corpus(2, 8, 30)
     for d, (i, a, b) in {0: (0, 0, 30), 1: (1, 5, 18), 2: (2, 5, 17), 3: (3, 10, 30)}.items():
@@ -96,23 +96,65 @@ def test_one_table_finds_exact_passages(spark):
 
 def test_edit_distance_against_plain_dp():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 3, (300, 7)), rng.integers(0, 3, (300, 7))
-    b[:150] = a[:150]
+    a, b = rng.integers(0, 3, (300, 7)), rng.integers(0, 3, (300, 9))
+    b[:150, :7] = a[:150]
     b[:100, 3] = 9
     got = L.edit_distance(a, b, 2)
     for x, y, g in zip(a, b, got):
-        d = np.arange(8)[:, None] + np.arange(8)[None, :]
+        d = np.arange(8)[:, None] + np.arange(10)[None, :]
         for i in range(1, 8):
-            for j in range(1, 8):
+            for j in range(1, 10):
                 d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x[i - 1] != y[j - 1]))
-        assert g == min(d[7, 7], 3)
+        assert g == min(d[7].min(), 3)  # the best beginning of the document's words
+
+
+KINDS = ("s", "i", "d", "ss", "ii", "dd", "si", "sd", "id")
+
+
+@pytest.mark.parametrize("opt", [L.Walks(), L.Walks(index_windows=0)], ids=["index", "joined"])
+def test_recall_of_edited_passages_of_one_window(spark, opt):
+    """Items of 13 words inside other text, with one or two edits of every kind at random places."""
+    rng = random.Random(8)
+    n = 120 if opt.index_windows else 30  # of each kind
+    fresh = iter(range(10**9))
+    new = lambda k: [f"n{next(fresh)}" for _ in range(k)]
+    items, docs, kinds = [], [], []
+    for i in range(n * len(KINDS)):
+        kind = KINDS[i % len(KINDS)]
+        w = new(13)
+        items.append(" ".join(w))
+        places = sorted(rng.sample(range(1, 13), len(kind)), reverse=True)
+        for k, p in zip(kind, places):
+            w[p : p + (k != "i")] = [] if k == "d" else new(1)
+        docs.append(" ".join(new(5) + w + new(5)))
+        kinds.append(kind)
+    got = {r.item_id: r.edits for r in run(spark, docs, items, opt).filter("doc_id = item_id").collect()}
+    for kind in KINDS:
+        at = [i for i, k in enumerate(kinds) if k == kind]
+        recall = np.mean([got.get(i, 9) <= len(kind) for i in at])
+        assert recall >= 0.9, (kind, recall)
+
+
+def test_filters_lose_no_pair_within_the_limit(spark):
+    """All pairs of windows against plain edit distance: what the keys find is what is reported."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [" ".join(rng.choice(vocab) for _ in range(14)) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        w = items[i % 6].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        docs.append(" ".join(w))
+    index = {(r.doc_id, r.item_id): tuple(r) for r in run(spark, docs, items).collect()}
+    joined = {(r.doc_id, r.item_id): tuple(r) for r in run(spark, docs, items, L.Walks(index_windows=0)).collect()}
+    assert index == joined and len(index) > 30
+
 
+def test_words_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    h = L.Hasher({5: "item"})
+    import xxhash
 
-def test_edges(spark):
-    docs, items = frames(spark, ["a " * 50_000, "b"], ["a " * 13, "a " * 12, ""])
-    got = L.leaks(spark, docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(0, 0, 0)]
-    assert L.leaks(spark, docs.filter("false"), items).count() == 0
-    assert L.leaks(spark, docs, items.filter("false")).count() == 0
-    report = L.leaked_items(L.leaks(spark, docs, items)).first()
-    assert (report.docs, report.exact_docs) == (1, 1)
+    real = xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w, seed=0: 5 if seed == 0 else real(w, seed))
+    assert h["item"] == 5 and h["other"] != 5
