@@ -181,7 +181,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_segments(spark, d).filter("of_document and needs_label").select("doc_id", "lang_code").distinct()
+    return p8_segments(spark, d).filter("of_document and needs_label").filter(F.col("lang_code") != language.UNKNOWN).select("doc_id", "lang_code").distinct()
 
 
 def p8_labels(spark: SparkSession, d: str) -> DataFrame:

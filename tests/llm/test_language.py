@@ -90,10 +90,56 @@ def test_forward_backward_against_enumeration():
     assert pairs == pytest.approx(want_pairs)
 
 
-def test_chains_keep_every_word():
-    parts = [(0, 0, ["a"] * n) for n in (3, 5000, 1, 700, 900)]
-    chains = G._chains(parts, 1000)
-    assert sum(map(len, chains)) == 6604 and max(map(len, chains)) <= 1000
+def test_chains_keep_every_word_and_whole_sentences():
+    chains = G._chains([3, 5000, 1, 700, 900], 1000)
+    assert chains == [(0, 3), (3, 5003), (5003, 5704), (5704, 6604)] and G._chains([], 9) == []
+
+
+def test_segments_inside_sentences(spark):
+    rows, _ = corpus()
+    rng = random.Random(9)
+    texts = []
+    for a, b in (("en", "es"), ("de", "en"), ("es", "de")):
+        left, right = " ".join(rng.choice(WORDS[a]) for _ in range(9)), " ".join(rng.choice(WORDS[b]) for _ in range(8))
+        texts.append((a, b, left, f"{sentence(rng, a)} {left} {right} {rng.choice(WORDS[a])} {left}. {sentence(rng, a)}"))
+    df = spark.createDataFrame(rows + [(1000 + i, a, t, "") for i, (a, _, _, t) in enumerate(texts)], SCHEMA)
+    got = {}
+    for r in G.segments(spark, df).filter("doc_id >= 1000").orderBy("doc_id", "segment").collect():
+        got.setdefault(r.doc_id - 1000, []).append(r)
+    for i, (a, b, left, t) in enumerate(texts):
+        segs = got[i]
+        assert [r.lang_code for r in segs] == [a, b, a]
+        assert abs(segs[1].start - (t.index(left) + len(left) + 1)) <= 12 and segs[1].n_sentences == 0 and segs[1].confidence > 0.6
+        assert [segs[k].end for k in (0, 1)] == [segs[k].start for k in (1, 2)] and not segs[1].of_document and not segs[0].needs_label
+
+
+def test_languages_that_were_not_learned_are_unknown(spark):
+    rows, _ = corpus()
+    da = "Klinikken sagde, at besøget blev forsinket, fordi ingen havde ringet. Patienten spurgte hvorfor sygehuset ikke længere åbner om lørdagen, og lægen svarede at der manglede hjælp."
+    df = spark.createDataFrame(rows + [(1000, "da", da, ""), (1001, "de", da, ""), (1002, "en", rows[0][2] + " " + da, "")], SCHEMA)
+    got = {}
+    for r in G.segments(spark, df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert {r.lang_code for r in got[1000]} == {r.lang_code for r in got[1001]} == {G.UNKNOWN}
+    assert {r.lang_code for i in got if i < 1000 for r in got[i]} == set(WORDS)
+    assert {r.lang_code for r in got[1002]} == {rows[0][3], G.UNKNOWN}
+
+
+def test_labels_of_all_languages(spark):
+    codes = G.label_codes(spark)
+    for label, want in {"Danish": "da", "dan": "da", "da-DK": "da", "Ελληνικά": "el", "greek": "el", "ger": "de", "Swahili": "sw", "swa": "sw", "fin_FI": "fi"}.items():
+        assert G.label_code(label, codes) == want
+    assert [G.label_code(x, codes) for x in ("und", "xx", "", None, "mul", "unknown", " ")] == [None] * 7
+
+
+def test_long_tags_and_sentences_are_read_whole(spark):
+    rows, _ = corpus()
+    tag = f"<div style='{'en clinique dit que ' * 40}'>"
+    long = " ".join(random.Random(2).choice(WORDS["de"]) for _ in range(6000))
+    df = spark.createDataFrame(rows + [(1000, "es", tag + rows[1][2], ""), (1001, "de", long, "")], SCHEMA)
+    got = {r.doc_id: r for r in G.segments(spark, df).filter("doc_id >= 1000").collect()}
+    assert got[1000].lang_code == rows[1][3] and got[1000].n_words < 60
+    assert got[1001].lang_code == "de" and got[1001].n_words == 6000
 
 
 def test_edges(spark):
