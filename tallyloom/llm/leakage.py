@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.durable import durable
+from tallyloom.llm.bits import bit_table, is_set
 
 
 @dataclass(frozen=True)
@@ -65,8 +66,8 @@ class Walks:
 EXACT = Walks(walks=1, tables=1, bits=8, max_edits=0)
 #: Lengths of the runs that are counted.
 RUNS = (2, 3)
-#: The table of runs has 2**RUN_BITS bits, in blocks of 2**BLOCK_BITS.
-RUN_BITS, BLOCK_BITS = 26, 19
+#: The table of runs has 2**RUN_BITS bits.
+RUN_BITS = 26
 #: Key bits that the table of used keys of an index has.
 FLAG_BITS = 23
 
@@ -208,30 +209,19 @@ def item_windows(items: DataFrame, opt: Walks) -> DataFrame:
 
 
 def _run_table(windows: DataFrame, opt: Walks) -> np.ndarray:
-    """The runs of all item windows as packed bits; at most 2**RUN_BITS bits reach the driver."""
+    """The runs of all item windows as packed bits."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), np.zeros(2**RUN_BITS, dtype=bool)
-        for b in batches:
+    def places():
+        hasher = Hasher()
+
+        def of(b: pa.RecordBatch) -> np.ndarray:
             flat = hasher(b.column("toks").flatten().to_pylist())
             inside = np.arange(len(flat)) % opt.width
-            for q in RUNS:
-                seen[runs(flat, q, opt)[inside[: len(flat) - q + 1] <= opt.width - q]] = True
-        for i, block in enumerate(seen.reshape(-1, 2**BLOCK_BITS)):
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(block).tobytes()], pa.binary())], names=["block", "bits"])
+            return np.concatenate([runs(flat, q, opt)[inside[: max(0, len(flat) - q + 1)] <= opt.width - q] for q in RUNS])
 
-    def merge(t: pa.Table) -> pa.Table:
-        got = np.zeros(2**BLOCK_BITS // 8, dtype=np.uint8)
-        for x in t.column("bits").to_pylist():
-            got |= np.frombuffer(x, dtype=np.uint8)
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "bits": pa.array([got.tobytes()], pa.binary())})
+        return of
 
-    schema = "block int, bits binary"
-    out = np.zeros((2 ** (RUN_BITS - BLOCK_BITS), 2**BLOCK_BITS // 8), dtype=np.uint8)
-    for r in windows.select("toks").mapInArrow(pack, schema).groupBy("block").applyInArrow(merge, schema).collect():
-        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.ravel()
+    return bit_table(windows.select("toks"), places, RUN_BITS)
 
 
 def index_of(windows: pa.Table, opt: Walks) -> dict | None:
@@ -272,7 +262,7 @@ class Corpus:
         opt, near = self.opt, np.ones(len(self.starts), dtype=bool)
         for q in RUNS:
             bit = runs(self.flat, q, opt)
-            hit = (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            hit = is_set(table, bit)
             upto = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
             end = np.minimum(self.starts + opt.reach - q + 1, len(hit))
             near &= upto[end] - upto[self.starts] >= opt.width - q + 1 - opt.max_edits * q
