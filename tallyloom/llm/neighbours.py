@@ -74,6 +74,8 @@ class Learned:
 LEAST_HELD = 500
 #: Largest set of models that is broadcast, in bytes; a model has about 30 KB.
 MODEL_BYTES = 200_000_000
+#: Most nodes whose sizes (about 60 bytes each) are broadcast.
+BROADCAST_NODES = 200_000
 #: Shares that the copies of a vector are spread over.
 SALTS = 16
 
@@ -449,7 +451,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, specs: DataFrame, opt: Lear
         query = query.withColumn("node", F.when(weak, F.col("matrix_name")).otherwise(F.col("node"))).dropDuplicates(["matrix_name", "vec_id", "node"])
     n_base = base.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nb"))
     n_query = query.groupBy("node").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("nq"))
-    sizes = n_base.join(n_query, "node")
+    sizes = durable(n_base.join(n_query, "node"))
+    if sizes.count() <= BROADCAST_NODES:
+        sizes = F.broadcast(sizes)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Where nothing was divided both sides are the same rows; fresh names keep their columns apart.
     own = lambda *names: [F.col(c).alias(c) for c in names]
