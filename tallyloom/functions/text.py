@@ -103,31 +103,38 @@ def field_of(c: Column, name: str) -> Column:
     return F.when(got != "", got)
 
 
-#: Spellings of directions and strengths.
+#: Spellings of directions, strengths, yes and confidences in words.
 DIRECTIONS = {
-    "increase": ("increase", "up", "raise", "higher", "positive"),
-    "decrease": ("decrease", "down", "lower", "reduce", "negative"),
-    "none": ("none", "no_change", "neutral", "keep", "unchanged"),
+    "increase": ("increase", "up", "upward", "higher", "positive", "raise", "upwards"),
+    "decrease": ("decrease", "down", "downward", "lower", "negative", "reduce", "downwards"),
+    "none": ("none", "no", "neutral", "no_change", "unchanged"),
 }
-STRENGTHS = {"weak": ("weak", "low", "slight", "minor"), "moderate": ("moderate", "medium", "mid"), "strong": ("strong", "high", "major", "large")}
-YES = ("true", "yes", "y", "1")
+STRENGTHS = {"weak": ("low", "small", "mild"), "moderate": ("medium", "mid"), "strong": ("high", "large"), "none": ("none", "no")}
+YES = ("1", "true", "yes", "y", "apply", "applied")
 NO = ("false", "no", "n", "0")
+CONFIDENCES = {"very low": 0.20, "low": 0.35, "medium": 0.60, "moderate": 0.60, "high": 0.80, "very high": 0.90}
 
 
-def alias(c: Column, names: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
-    """The canonical name of a value in a table of spellings."""
-    s = F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
-    out = F.lit(default).cast("string")
+def alias(c: Column, names: Mapping[str, Sequence[str]], default: str | None = None, keep: bool = False) -> Column:
+    """The canonical name of a value in a table of spellings; ``keep``: other values stay, lower-cased
+    and with underscores, and null becomes empty."""
+    s = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")) if keep else c)), "[ -]", "_")
+    out = s if keep else F.lit(default).cast("string")
     for name, spellings in names.items():
         out = F.when(s.isin(*spellings), name).otherwise(out)
     return out
 
 
 def confidence(c: Column, default: float = 0.5) -> Column:
-    """A confidence as a fraction: percentages are divided by 100, the result lies in 0 to 1."""
-    raw = F.regexp_replace(F.trim(c), "%$", "").try_cast("double")
-    x = F.when(F.trim(c).endswith("%") | (raw > 1), raw / 100).otherwise(raw)
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(float(default)))
+    """A confidence as a fraction: words have fixed values, a percent sign is dropped, numbers over 1
+    and up to 100 are percentages, the result lies in 0 to 1. Anything else gives the default."""
+    s = F.lower(F.trim(c))
+    raw = F.nanvl(F.replace(s, F.lit("%")).try_cast("double"), F.lit(None))
+    x = F.when((raw > 1) & (raw <= 100), raw / 100).otherwise(raw)
+    out = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(float(default)))
+    for word, value in CONFIDENCES.items():
+        out = F.when(s == word, F.lit(value)).otherwise(out)
+    return out
 
 
 def boolean(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Binary metrics, threshold and scale searches as aggregates.
 
-Rank metrics first group by score, so the cumulative windows run over distinct scores and not over
-rows. Sweeps over thresholds do not multiply the rows by the grid: labels are counted per whole
+Rank metrics first group by score, so cumulative sums run over distinct scores and not over rows, and
+over bins of scores before the scores of a bin. Sweeps over thresholds do not multiply the rows by the grid: labels are counted per whole
 percent first, and the cumulative sums of at most 101 buckets a group give every threshold.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.recode import clip, log_loss
+from tallyloom.operators.ranked import cumulate
 
 
 def _ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -46,18 +47,16 @@ def rank_metrics(df: DataFrame, y: str, p: str, weight: str | None = None, by: S
     g = _clean(df, y, p, weight, by).groupBy(*by, "p").agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("neg")
     )
-    keys = list(by) or [F.lit(1)]
-    up = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = g.withColumns(
-        {"below": F.coalesce(F.sum("neg").over(up), F.lit(0.0)), "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}
-    )
+    cum = cumulate(g, by, "p", ["pos", "neg"])
+    totals = g.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
+    cum = cum.join(totals, list(by)) if by else cum.join(F.broadcast(totals))  # one row
+    tp, fp = F.col("pos_all") - F.col("pos_before"), F.col("neg_all") - F.col("neg_before")  # of scores at least this high
     s = cum.groupBy(*by).agg(
-        F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("u"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("u"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp)).otherwise(0.0)).alias("a"),
+        F.max("pos_all").alias("pos_all"), F.max("neg_all").alias("neg_all"),
     )
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    return s.select(*by, F.when(both, F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("a") / F.col("P")).alias("average_precision"))
+    both = (F.col("pos_all") > 0) & (F.col("neg_all") > 0)
+    return s.select(*by, F.when(both, F.col("u") / (F.col("pos_all") * F.col("neg_all"))).alias("roc_auc"), F.when(both, F.col("a") / F.col("pos_all")).alias("average_precision"))
 
 
 def binary_metrics(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ranked import quantiles
+
 #: Pattern order 1 to 8, from most to least favourable.
 ORDER = [
     f"{m} Motivation / {c} Capability / {a} Cue" for m in ("High", "Low") for c in ("High", "Low") for a in ("Strong", "Weak")
@@ -22,7 +24,9 @@ def fit_thresholds(memory: DataFrame, mode: str = "median", fixed: float = 2.5)
     names = [f"t_{c.removesuffix('_score')}" for c in SCORES]
     if mode == "fixed":
         return memory.sparkSession.range(1).select(*[F.lit(float(fixed)).alias(n) for n in names])
-    return memory.agg(*[F.coalesce(F.median(c), F.lit(float(fixed))).alias(n) for c, n in zip(SCORES, names)])
+    long = memory.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("x")) for c, n in zip(SCORES, names)])).alias("e")).select("e.*")
+    medians = quantiles(long, ["name"], "x", {"m": 0.5})  # one row a score
+    return medians.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("m"))), F.lit(float(fixed))).alias(n) for n in names])
 
 
 def label(m: Column, c: Column, a: Column, tm: Column, tc: Column, ta: Column) -> Column:

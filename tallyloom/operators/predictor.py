@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.recode import clip
-from tallyloom.functions.text import alias, confidence, limited, limited_list, objects_in
+from tallyloom.functions.text import DIRECTIONS, STRENGTHS, alias, boolean, confidence, last_object_with, limited, limited_list, objects_in
 
 
 class Predictor(Protocol):
@@ -39,25 +39,26 @@ class Stub:
         return out
 
 
-#: Words in an error message and the category they give, first match wins.
+#: Category, words in the name of an error, words in its message; first match wins.
 FAILURES = (
-    ("rate_limit", ("rate limit", "429", "too many requests")),
-    ("timeout", ("timeout", "timed out", "deadline")),
-    ("context_length", ("context length", "maximum context", "too long")),
-    ("authentication", ("401", "403", "unauthorized", "api key")),
-    ("content_filter", ("content filter", "safety", "blocked")),
-    ("server", ("500", "502", "503", "overloaded", "internal error")),
-    ("connection", ("connection", "network", "dns", "reset by peer")),
+    ("api_rate_limit", ("ratelimit",), ("429", "rate limit")),
+    ("api_timeout", ("timeout",), ("timed out",)),
+    ("api_connection", ("connection", "connect"), ("connection",)),
+    ("api_authentication", ("authentication",), ("401",)),
+    ("api_permission", ("permission",), ("403",)),
 )
 
 
-def failure_category(message: Column) -> Column:
-    m = F.lower(message)
-    out = F.when(m.isNotNull(), "other")
-    for name, words in reversed(FAILURES):
+def failure_category(message: Column, error_type: Column | None = None) -> Column:
+    """The category of an error by its type and message; null without an error."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    t = F.lower(F.coalesce(error_type, F.lit(""))) if error_type is not None else F.lit("")
+    out = F.when((m != "") | (t != ""), "api_other")
+    for name, types, words in reversed(FAILURES):
         hit = F.lit(False)
-        for w in words:
-            hit = hit | m.contains(w)
+        for c, parts in ((t, types), (m, words)):
+            for w in parts:
+                hit = hit | c.contains(w)
         out = F.when(hit, name).otherwise(out)
     return out
 
@@ -136,10 +137,12 @@ def run_pending(
 
 
 def parse_answer(text: Column, fields: dict[str, str]) -> Column:
-    """A struct of the answer's fields; text around the JSON and code fences are dropped."""
-    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    """A struct of the answer's fields: of the last JSON object that holds the first field.
+
+    Text around it, code fences and other objects are dropped.
+    """
     schema = ", ".join(f"{k} {t}" for k, t in fields.items())
-    return F.from_json(body, schema)
+    return F.from_json(last_object_with(next(iter(fields)))(text), schema)
 
 
 def probability(c: Column, rescale: bool = False) -> Column:
@@ -178,6 +181,42 @@ def gate(ids: Column, retrieved: Column, residual_sign: Column, direction: Colum
     return F.struct(kept.alias("memory_ids"), (F.coalesce(agree, F.lit(False)) & (F.size(kept) > 0)).alias("apply_correction"))
 
 
+def gate_answer(
+    apply: Column, direction: Column, ids: Column, retrieved: Column, strength: Column, summary: Column, evidence: Column, conf: Column, most: int = 3
+) -> Column:
+    """The validated answer of a gate.
+
+    ``ids``: array of text; ``retrieved``: map of memory id to empirical residual. At most ``most``
+    named memories that were retrieved count. An applied correction needs a direction and such
+    memories (else ``error`` says what is missing) and keeps those whose residual has the sign of the
+    direction; if none has, nothing is applied. A strength in other words is moderate.
+    """
+    d, on = alias(direction, DIRECTIONS, keep=True), F.coalesce(boolean(apply), F.lit(False))
+    squeezed = lambda c, n: F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(n))
+    known = F.slice(F.filter(F.transform(ids, lambda i: F.trim(i)), lambda i: F.map_contains_key(retrieved, i)), 1, most)
+    sign = F.when(d == "increase", 1.0).otherwise(-1.0)
+    agree = F.filter(known, lambda i: F.signum(retrieved[i]) == sign)
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    error = F.when(on & ~d.isin("increase", "decrease"), "no direction").when(on & (size(known) < 1), "no retrieved memories")
+    applied = on & error.isNull() & (size(agree) > 0)
+    s = alias(strength, STRENGTHS, keep=True)
+    unsupported = on & error.isNull() & (size(agree) == 0)
+    none = F.array().cast("array<string>")
+    return F.struct(
+        applied.alias("apply_correction"), F.when(applied, d).otherwise("none").alias("correction_direction"),
+        F.when(applied, agree).otherwise(none).alias("selected_memory_ids"),
+        F.when(~applied, "none").when(s.isin("weak", "moderate", "strong"), s).otherwise("moderate").alias("strength"),
+        F.when(unsupported, NOT_SUPPORTED).otherwise(squeezed(F.coalesce(summary, F.when(on, "").otherwise(NO_MECHANISM)), 500)).alias("mechanism_summary"),
+        F.coalesce(F.slice(F.filter(F.transform(evidence, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), 1, 6), none).alias("evidence_fields"),
+        confidence(conf).alias("confidence"), error.alias("error"),
+    )
+
+
+#: Summaries of gates that apply nothing.
+NO_MECHANISM = "No supported residual mechanism."
+NOT_SUPPORTED = "Selected memories did not empirically support the requested direction."
+
+
 def vector(values: Column, lo: float = -2.0, hi: float = 2.0, whole: bool = False, size: int = 5) -> Column:
     """A vector of ``size`` limited numbers; null if the length differs or a number is missing."""
     v = F.transform(values, lambda x: clip(F.round(x) if whole else x, lo, hi))

@@ -28,6 +28,43 @@ def unit_hash(seed: int, *cols: str | Column) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * (2.0**-53)
 
 
+def cumulate(values: DataFrame, by: Sequence[str], value: str, amounts: Sequence[str], bins: int = 4096) -> DataFrame:
+    """Add ``<amount>_before``: the sum over smaller values of the same group.
+
+    ``values``: one row per group and distinct, non-null value. The values are laid in bins between the
+    smallest and the greatest of their group; sums run over the bins first and then within each
+    bin, so no task holds all values of a group (unless they crowd in one of the bins).
+    """
+    ends = values.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    wide = values.join(ends, list(by)) if by else values.join(F.broadcast(ends))  # one row
+    place = F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    wide = wide.withColumn("__bin", F.coalesce(F.floor(place * (bins - 1)), F.lit(0)).cast("int")).drop("__lo", "__hi")
+    over = Window.partitionBy(*(list(by) or [F.lit(1)])).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows a group
+    sums = wide.groupBy(*by, "__bin").agg(*[F.sum(a).alias(f"__{a}") for a in amounts])
+    sums = sums.select(*by, "__bin", *[F.coalesce(F.sum(f"__{a}").over(over), F.lit(0)).alias(f"__{a}") for a in amounts])
+    inner = Window.partitionBy(*by, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = wide.join(sums, [*by, "__bin"])
+    return out.withColumns({f"{a}_before": F.col(f"__{a}") + F.coalesce(F.sum(a).over(inner), F.lit(0)) for a in amounts}).drop("__bin", *[f"__{a}" for a in amounts])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group, from counts of distinct values.
+
+    ``shares``: column name to share. Null and NaN take no part.
+    """
+    x = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    at = cumulate(x, by, value, ["__c"])
+    total = x.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    at = at.join(total, list(by)) if by else at.join(F.broadcast(total))  # one row
+    row = lambda r: F.max(F.when((F.col("__c_before") <= r) & (r < F.col("__c_before") + F.col("__c")), F.col(value)))
+    out = []
+    for name, q in shares.items():
+        r = (F.col("__n") - 1) * q
+        out += [row(F.floor(r)).alias(f"__a_{name}"), row(F.ceil(r)).alias(f"__b_{name}"), F.max(r - F.floor(r)).alias(f"__f_{name}")]
+    found = at.groupBy(*by).agg(*out)
+    return found.select(*by, *[(F.col(f"__a_{n}") + F.col(f"__f_{n}") * (F.col(f"__b_{n}") - F.col(f"__a_{n}"))).alias(n) for n in shares])
+
+
 def take_prefix(
     df: DataFrame,
     groups: Sequence[str],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.recode import band_label
+from tallyloom.operators.ranked import cumulate, quantiles
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -38,11 +39,10 @@ def band_summary(df: DataFrame, scores: Sequence[str], edges: Sequence[int] = (1
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the average rank of a value within its group (ties share the mean rank).
 
-    Ranks come from counts per distinct value, so the window has one row a value.
+    Ranks come from counts per distinct value, summed over bins of values first.
     """
-    c = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*(list(by) or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn(out, F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).drop("__c")
+    c = cumulate(df.groupBy(*by, value).agg(F.count("*").alias("__n")), by, value, ["__n"])
+    c = c.withColumn(out, F.col("__n_before") + (F.col("__n") + 1) / 2).drop("__n", "__n_before")
     return df.join(c, [*by, value])
 
 
@@ -52,12 +52,13 @@ def describe(df: DataFrame, scores: Sequence[str], y: str = "vaccinated", weight
     long = df.select(F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), F.explode(F.array(*s)).alias("e")).select("y", "w", "e.*")
     a = long.groupBy("score").agg(
         F.count("x").alias("n"), (1 - F.count("x") / F.count("*")).alias("missing_rate"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), *[F.percentile("x", F.lit(q)).alias(n) for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))], F.max("x").alias("max"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
         F.corr("x", "y").alias("pearson"), weighted_mean(F.col("x"), F.col("w")).alias("weighted_mean"),
     )
     pairs = long.filter("x is not null and y is not null").select("score", "x", "y")
     ranks = average_rank(average_rank(pairs, ["score"], "x", "rx"), ["score"], "y", "ry")
-    return a.join(ranks.groupBy("score").agg(F.corr("rx", "ry").alias("spearman")), "score", "left")
+    quarters = quantiles(long, ["score"], "x", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return a.join(quarters, "score", "left").join(ranks.groupBy("score").agg(F.corr("rx", "ry").alias("spearman")), "score", "left")
 
 
 def phase_diagnostics(log: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -87,7 +88,7 @@ def repair_weights(df: DataFrame, weight: str, out: str = "fit_weight", normalis
     """Replace bad weights by the median of the good ones and scale to mean 1."""
     w = F.col(weight).cast("double")
     good = F.when((w > 0) & ~F.isnan(w) & (w < float("inf")), w)
-    m = df.agg(F.coalesce(F.median(good), F.lit(1.0)).alias("__m"))
+    m = quantiles(df.select(good.alias("__w")), [], "__w", {"__m": 0.5}).select(F.coalesce("__m", F.lit(1.0)).alias("__m"))
     fixed = df.join(F.broadcast(m)).withColumn(out, F.coalesce(good, F.col("__m"))).drop("__m")
     if not normalise:
         return fixed

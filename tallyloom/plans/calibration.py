@@ -661,13 +661,27 @@ def q_validate_decisions(spark, d):
     return rounded(c.select("call_id", v.alias("v")).select("call_id", "v.residual_adjustment", "v.probability_yes", "v.probability_consistency_corrected", "v.deviation_direction"))
 
 
-@query("""SELECT memory_id, CASE WHEN lower(trim(correction_direction)) IN ('increase', 'up', 'raise', 'higher', 'positive') THEN 'increase' WHEN lower(trim(correction_direction)) IN ('decrease', 'down', 'lower', 'reduce', 'negative') THEN 'decrease'
-    WHEN lower(trim(correction_direction)) IN ('none', 'no_change', 'neutral', 'keep', 'unchanged') THEN 'none' END AS direction, round(CASE WHEN reflection_confidence IS NULL THEN 0.5e0 ELSE least(greatest(CASE WHEN reflection_confidence > 1 THEN reflection_confidence / 100 ELSE reflection_confidence END, 0), 1) END, 6) AS confidence,
-    least(len(supporting_variables), 3) AS n_supports FROM (SELECT * FROM memory_items WHERE memory_id IS NOT NULL) GROUP BY ALL""")
+#: Answers of free-text models, as a table of (id, direction, strength, confidence).
+SPELLED = (
+    (1, "Upwards", "Mild", "high"), (2, " no-change ", "mid", "Very High"), (3, "LOWER", "large", "85%"), (4, "sideways", "none", "0.5%"), (5, None, None, None),
+    (6, "reduce", "strong", "140"), (7, "No", "weak", "-3"), (8, "Positive", "High", "nan"), (9, "up ward", "odd one", "moderate"), (10, "", "", "about half"),
+)
+SPELLED_SQL = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in SPELLED)
+
+
+@query(f"""WITH t AS (SELECT id, replace(replace(lower(trim(coalesce(d, ''))), '-', '_'), ' ', '_') AS d, replace(replace(lower(trim(coalesce(s, ''))), '-', '_'), ' ', '_') AS s, lower(trim(c)) AS c,
+        CASE WHEN isnan(TRY_CAST(replace(c, '%', '') AS DOUBLE)) THEN NULL ELSE TRY_CAST(replace(c, '%', '') AS DOUBLE) END AS x FROM (VALUES {SPELLED_SQL}) v(id, d, s, c)),
+    m AS (SELECT memory_id + 100 AS id, correction_direction AS d, '' AS s, NULL AS c, reflection_confidence AS x FROM memory_items WHERE memory_id IS NOT NULL GROUP BY ALL)
+    SELECT CAST(id AS BIGINT) AS id, CASE WHEN d IN ('increase', 'up', 'upward', 'higher', 'positive', 'raise', 'upwards') THEN 'increase' WHEN d IN ('decrease', 'down', 'downward', 'lower', 'negative', 'reduce', 'downwards') THEN 'decrease'
+        WHEN d IN ('none', 'no', 'neutral', 'no_change', 'unchanged') THEN 'none' ELSE d END AS direction,
+    CASE WHEN s IN ('low', 'small', 'mild') THEN 'weak' WHEN s IN ('medium', 'mid') THEN 'moderate' WHEN s IN ('high', 'large') THEN 'strong' WHEN s IN ('none', 'no') THEN 'none' ELSE s END AS strength,
+    round(CASE c WHEN 'very low' THEN 0.2e0 WHEN 'low' THEN 0.35e0 WHEN 'medium' THEN 0.6e0 WHEN 'moderate' THEN 0.6e0 WHEN 'high' THEN 0.8e0 WHEN 'very high' THEN 0.9e0
+        ELSE coalesce(least(greatest(CASE WHEN x > 1 AND x <= 100 THEN x / 100 ELSE x END, 0e0), 1e0), 0.5e0) END, 6) AS confidence FROM (FROM t UNION ALL FROM m)""")
 def q_normalise_rules(spark, d):
     m = table(spark, d, "memory_items").filter("memory_id is not null")
-    out = m.select("memory_id", X.alias(F.col("correction_direction"), X.DIRECTIONS).alias("direction"), X.confidence(F.col("reflection_confidence").cast("string")).alias("confidence"), F.size(X.limited_list(F.col("supporting_variables"), 3, 40)).cast("long").alias("n_supports"))
-    return rounded(out).distinct()
+    m = m.select((F.col("memory_id") + 100).alias("id"), F.col("correction_direction").alias("d"), F.lit("").alias("s"), F.col("reflection_confidence").cast("string").alias("c")).distinct()
+    spelled = spark.createDataFrame([tuple(r) for r in SPELLED], "id long, d string, s string, c string").unionByName(m)
+    return rounded(spelled.select("id", X.alias(F.col("d"), X.DIRECTIONS, keep=True).alias("direction"), X.alias(F.col("s"), X.STRENGTHS, keep=True).alias("strength"), X.confidence(F.col("c")).alias("confidence")))
 
 
 @query(f"""WITH {PROF}, g AS (SELECT median(survey_weight) AS m FROM s WHERE survey_weight > 0), f AS (SELECT source_row_index, CASE WHEN survey_weight > 0 THEN survey_weight ELSE m END AS w FROM s, g)
@@ -699,12 +713,14 @@ def q_row_losses(spark, d):
     return rounded(anchored(spark, d).select("source_row_index", R.log_loss(F.col("vaccinated"), p).alias("loss"), R.logit(p).alias("logit")))
 
 
-@query("""SELECT call_id, CASE WHEN m IS NULL THEN NULL WHEN m LIKE '%rate limit%' OR m LIKE '%429%' OR m LIKE '%too many requests%' THEN 'rate_limit' WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' OR m LIKE '%deadline%' THEN 'timeout'
-    WHEN m LIKE '%context length%' OR m LIKE '%maximum context%' OR m LIKE '%too long%' THEN 'context_length' WHEN m LIKE '%401%' OR m LIKE '%403%' OR m LIKE '%unauthorized%' OR m LIKE '%api key%' THEN 'authentication'
-    WHEN m LIKE '%content filter%' OR m LIKE '%safety%' OR m LIKE '%blocked%' THEN 'content_filter' WHEN m LIKE '%500%' OR m LIKE '%502%' OR m LIKE '%503%' OR m LIKE '%overloaded%' OR m LIKE '%internal error%' THEN 'server'
-    WHEN m LIKE '%connection%' OR m LIKE '%network%' OR m LIKE '%dns%' OR m LIKE '%reset by peer%' THEN 'connection' ELSE 'other' END AS category FROM (SELECT call_id, lower(error_message) AS m FROM call_log WHERE status = 'error') GROUP BY ALL""")
+@query("""SELECT call_id, CASE WHEN t LIKE '%ratelimit%' OR m LIKE '%429%' OR m LIKE '%rate limit%' THEN 'api_rate_limit' WHEN t LIKE '%timeout%' OR m LIKE '%timed out%' THEN 'api_timeout'
+    WHEN t LIKE '%connect%' OR m LIKE '%connection%' THEN 'api_connection' WHEN t LIKE '%authentication%' OR m LIKE '%401%' THEN 'api_authentication'
+    WHEN t LIKE '%permission%' OR m LIKE '%403%' THEN 'api_permission' WHEN t <> '' OR m <> '' THEN 'api_other' END AS category
+    FROM (SELECT call_id, coalesce(lower(error_type), '') AS t, replace(coalesce(lower(error_message), ''), '_', ' ') AS m FROM call_log WHERE status = 'error') GROUP BY ALL""")
 def q_failure_category(spark, d):
-    return table(spark, d, "call_log").filter("status = 'error'").select("call_id", predictor.failure_category(F.col("error_message")).alias("category")).distinct()
+    # The log names categories with underscores where messages of services have spaces.
+    c = table(spark, d, "call_log").filter("status = 'error'")
+    return c.select("call_id", predictor.failure_category(F.replace(F.col("error_message"), F.lit("_"), F.lit(" ")), F.col("error_type")).alias("category")).distinct()
 
 
 # Joins, unions, pivots on the star schema
@@ -716,9 +732,10 @@ def q_semi_join(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
 
 
-@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'F'""")
 def q_set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    o = table(spark, d, "orders").filter(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F"))
+    return table(spark, d, "customer").select("c_custkey").subtract(o.select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("""SELECT c_mktsegment, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS "O", round(avg(o_totalprice) FILTER (o_orderstatus = 'P'), 6) AS "P"

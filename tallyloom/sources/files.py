@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyloom.functions.text import fingerprint
 
@@ -17,7 +18,8 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], text: Seque
     """Needed columns of a CSV as doubles (``text`` as strings); raises if one is missing.
 
     Text that is no number becomes null. The header alone is read for the check. ``row_id`` is the
-    position in the file, numbered per partition offset (one pass over the narrow columns).
+    position over all files in order: rows are counted per block of a file first, and a row's place
+    in its block is added to the rows before the block.
     """
     header = spark.read.csv(path, header=True).columns
     if absent := [c for c in columns if c not in header]:
@@ -26,8 +28,14 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], text: Seque
     out = raw.select(*[F.col(c) if c in text else F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     if row_id is None:
         return out
-    schema = T.StructType([*out.schema.fields, T.StructField(row_id, T.LongType())])
-    return spark.createDataFrame(out.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")]
+    # Ids ascend within a block; the same plan gives the same ids.
+    placed = raw.select(*out.columns, *block)
+    blocks = placed.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    blocks = blocks.select("__file", "__start", (before - F.col("__first")).alias("__shift"))
+    typed = placed.select(*[F.col(c) if c in text else F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c) for c in columns], "__file", "__start", "__at")
+    return typed.join(F.broadcast(blocks), ["__file", "__start"]).select(*columns, (F.col("__at") + F.col("__shift")).alias(row_id))
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

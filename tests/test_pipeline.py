@@ -24,7 +24,7 @@ def test_resume_makes_no_calls(spark, tmp_path):
     log = str(tmp_path / "log")
     bad = P.run_pending(spark, prompts, log, "h", Failing, retries=1)
     assert bad.filter("status = 'error' and attempt_count = 2").count() == 20
-    assert bad.select(P.failure_category(F.col("error_message"))).first()[0] == "timeout"
+    assert bad.select(P.failure_category(F.col("error_message"), F.col("error_type"))).first()[0] == "api_timeout"
     kept = P.run_pending(spark, prompts, log, "h", Forbidden, retry_errors=False)
     assert kept.filter("status = 'error'").count() == 20
     ok = P.run_pending(spark, prompts, log, "h")
@@ -107,3 +107,60 @@ def test_collect_results_keeps_the_empty_versions(spark):
     got = {r.result_group: r for r in collect_results({"ml": ml, "icl": icl, "reward_memory": rg}).collect()}
     assert list(got["ml"].asDict()) == RESULT_COLUMNS
     assert (got["ml"].version, got["ml"].method, got["icl"].version, got["reward_memory"].version, got["reward_memory"].selected_threshold) == ("V4", "logistic", None, "V5", "50.0")
+
+
+def test_gate_answers(spark):
+    held = {"a": 0.3, "b": -0.2, "c": 0.1, "d": 0.4}
+    rows = [
+        ("Yes", "Up", ["a", " b", "c", "d", "x"], "Large", " two\n words ", ["", " E1 "], "high"),
+        ("no", "up", ["a"], "strong", None, None, None),
+        ("apply", "sideways", ["a"], "weak", "s", [], "0.4"),
+        ("true", "down", ["x"], "weak", "s", [], "40"),
+        ("true", "down", ["a"], "weak", "s", ["e"], "40"),
+        ("true", "increase", ["a"], "odd", "s", ["1", "2", "3", "4", "5", "6", "7"], None),
+        (None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r, held) for i, r in enumerate(rows)], "i int, a string, d string, ids array<string>, s string, m string, e array<string>, c string, held map<string,double>")
+    g = P.gate_answer(*[F.col(c) for c in ("a", "d", "ids", "held", "s", "m", "e", "c")])
+    got = [r.g for r in df.select("i", g.alias("g")).orderBy("i").collect()]
+    assert tuple(got[0]) == (True, "increase", ["a", "c"], "strong", "two words", ["E1"], 0.8, None)
+    assert tuple(got[1]) == (False, "none", [], "none", P.NO_MECHANISM, [], 0.5, None)
+    assert [(x.apply_correction, x.error) for x in got[2:4]] == [(False, "no direction"), (False, "no retrieved memories")]
+    assert (got[4].apply_correction, got[4].mechanism_summary, got[4].evidence_fields, got[4].confidence) == (False, P.NOT_SUPPORTED, ["e"], 0.4)
+    assert (got[5].strength, len(got[5].evidence_fields)) == ("moderate", 6) and not got[6].apply_correction and got[6].error is None
+
+
+def test_answers_with_several_objects(spark):
+    df = spark.createDataFrame([('first {"p": 1, "q": "a"} then {"p": 2} {"z": 1}',), ("none",), (None,)], "t string")
+    assert [r.x and r.x.p for r in df.select(P.parse_answer(F.col("t"), {"p": "double", "q": "string"}).alias("x")).collect()] == [2.0, None, None]
+
+
+def test_row_numbers_of_a_csv_follow_the_file(spark, tmp_path):
+    from tallyloom.sources.files import read_csv
+
+    (tmp_path / "a.csv").write_text("HHX,X,Y\n" + "".join(f"h{i},{i},{'bad' if i % 7 == 0 else i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        got = read_csv(spark, str(tmp_path / "a.csv"), ["HHX", "X", "Y"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.source_row_index for r in got) == list(range(5000)) and all(r.X == r.source_row_index and r.HHX == f"h{r.source_row_index}" for r in got)
+    assert sum(r.Y is None for r in got) == 715
+
+
+def test_quantiles_and_running_sums_against_numpy(spark):
+    import numpy as np
+
+    from tallyloom.operators.ranked import cumulate, quantiles
+
+    rng = np.random.default_rng(3)
+    x = {"a": np.round(rng.normal(size=501), 2), "b": rng.exponential(size=40) ** 9, "c": np.array([5.0] * 9), "d": np.array([1.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in x.items() for v in vs] + [("a", None), ("a", float("nan")), ("e", None)], "g string, x double")
+    got = {r.g: r for r in quantiles(df, ["g"], "x", {"q1": 0.25, "m": 0.5, "q9": 0.9}).collect()}
+    assert set(got) == set(x)
+    for g, v in x.items():
+        assert [got[g].q1, got[g].m, got[g].q9] == pytest.approx(list(np.quantile(v, [0.25, 0.5, 0.9])))
+    c = df.filter("x = x and x is not null and not isnan(x)").groupBy("g", "x").agg(F.count("*").alias("n"))
+    for r in cumulate(c, ["g"], "x", ["n"], bins=16).collect():
+        assert r.n_before == (x[r.g] < r.x).sum()
+    assert quantiles(df.filter("g = 'e'"), [], "x", {"m": 0.5}).first().m is None
