@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
 from tallyloom.functions.recode import clip, log_loss
 from tallyloom.operators.ranked import cumulate
 
@@ -44,9 +45,10 @@ def _clean(df: DataFrame, y: str, p: str, w: str | None, by: Sequence[str], *ext
 
 def rank_metrics(df: DataFrame, y: str, p: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Tie-aware ROC AUC and average precision per group; null with one class only."""
-    g = _clean(df, y, p, weight, by).groupBy(*by, "p").agg(
+    # One row a distinct score, read four times below.
+    g = durable(_clean(df, y, p, weight, by).groupBy(*by, "p").agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("neg")
-    )
+    ))
     cum = cumulate(g, by, "p", ["pos", "neg"])
     totals = g.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
     cum = cum.join(totals, list(by)) if by else cum.join(F.broadcast(totals))  # one row

@@ -31,7 +31,7 @@ def unit_hash(seed: int, *cols: str | Column) -> Column:
 def cumulate(values: DataFrame, by: Sequence[str], value: str, amounts: Sequence[str], bins: int = 4096) -> DataFrame:
     """Add ``<amount>_before``: the sum over smaller values of the same group.
 
-    ``values``: one row per group and distinct, non-null value. The values are laid in bins between the
+    ``values``: one row per group and distinct, non-null value, read three times. The values are laid in bins between the
     smallest and the greatest of their group; sums run over the bins first and then within each
     bin, so no task holds all values of a group (unless they crowd in one of the bins).
     """
@@ -52,7 +52,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, fl
 
     ``shares``: column name to share. Null and NaN take no part.
     """
-    x = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    x = durable(df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("__c")))
     at = cumulate(x, by, value, ["__c"])
     total = x.groupBy(*by).agg(F.sum("__c").alias("__n"))
     at = at.join(total, list(by)) if by else at.join(F.broadcast(total))  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
 from tallyloom.functions.recode import band_label
 from tallyloom.operators.ranked import cumulate, quantiles
 
@@ -41,7 +42,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
 
     Ranks come from counts per distinct value, summed over bins of values first.
     """
-    c = cumulate(df.groupBy(*by, value).agg(F.count("*").alias("__n")), by, value, ["__n"])
+    c = cumulate(durable(df.groupBy(*by, value).agg(F.count("*").alias("__n"))), by, value, ["__n"])
     c = c.withColumn(out, F.col("__n_before") + (F.col("__n") + 1) / 2).drop("__n", "__n_before")
     return df.join(c, [*by, value])
 

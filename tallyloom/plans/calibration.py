@@ -676,7 +676,7 @@ SPELLED_SQL = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v i
         WHEN d IN ('none', 'no', 'neutral', 'no_change', 'unchanged') THEN 'none' ELSE d END AS direction,
     CASE WHEN s IN ('low', 'small', 'mild') THEN 'weak' WHEN s IN ('medium', 'mid') THEN 'moderate' WHEN s IN ('high', 'large') THEN 'strong' WHEN s IN ('none', 'no') THEN 'none' ELSE s END AS strength,
     round(CASE c WHEN 'very low' THEN 0.2e0 WHEN 'low' THEN 0.35e0 WHEN 'medium' THEN 0.6e0 WHEN 'moderate' THEN 0.6e0 WHEN 'high' THEN 0.8e0 WHEN 'very high' THEN 0.9e0
-        ELSE coalesce(least(greatest(CASE WHEN x > 1 AND x <= 100 THEN x / 100 ELSE x END, 0e0), 1e0), 0.5e0) END, 6) AS confidence FROM (FROM t UNION ALL FROM m)""")
+        ELSE CASE WHEN x IS NULL THEN 0.5e0 WHEN x <= 0 THEN 0e0 WHEN x > 1 AND x <= 100 THEN x / 100 WHEN x > 100 THEN 1e0 ELSE x END END, 6) AS confidence FROM (FROM t UNION ALL FROM m)""")
 def q_normalise_rules(spark, d):
     m = table(spark, d, "memory_items").filter("memory_id is not null")
     m = m.select((F.col("memory_id") + 100).alias("id"), F.col("correction_direction").alias("d"), F.lit("").alias("s"), F.col("reflection_confidence").cast("string").alias("c")).distinct()
