@@ -7,7 +7,7 @@ percent first, and the cumulative sums of at most 101 buckets a group give every
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,3 +139,21 @@ def scale_search(df: DataFrame, y: str, prior: str, correction: str, max_scale:
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"l{i}").alias("log_loss"), F.col(f"b{i}").alias("brier")) for i, a in enumerate(grid)])).alias("e")
     w = Window.orderBy(F.round("log_loss", 12), F.round("brier", 12), "alpha")  # one row a scale
     return s.select(each).select("e.*").withColumn("rank", F.row_number().over(w))
+
+
+def ablation(
+    calibration: DataFrame, test: DataFrame, y: str, predictions: Mapping[str, str], metric: str = "balanced_accuracy", rule: str = "b", weight: str | None = None
+) -> DataFrame:
+    """One row per ablation and weighting: its threshold from the calibration rows and the metrics of
+    the test rows.
+
+    ``predictions``: name of the ablation to its column of percent probabilities. Rows without a
+    prediction take no part in that ablation only.
+    """
+    long = lambda df: df.select(y, *([weight] if weight else []), F.explode(F.array(*[F.struct(F.lit(n).alias("ablation"), F.col(c).cast("double").alias("p")) for n, c in predictions.items()])).alias("e")).select(y, *([weight] if weight else []), "e.*")
+    best = durable(best_threshold(long(calibration), y, "p", rule, metric, by=["ablation"]).select("ablation", F.col("threshold").cast("double").alias("t")))
+    rows = durable(long(test).join(F.broadcast(best), "ablation"))  # one row an ablation
+    out = binary_metrics(rows, y, "p", F.col("t"), by=["ablation"]).withColumn("weighted", F.lit(False))
+    if weight:
+        out = out.unionByName(binary_metrics(rows, y, "p", F.col("t"), weight, by=["ablation"]).withColumn("weighted", F.lit(True)))
+    return out

@@ -49,7 +49,7 @@ def clean(c: str) -> str:
 PROF = f"""s0 AS (SELECT * FROM hbm_scores WHERE source_row_index IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY scored_at DESC NULLS LAST) = 1),
 s1 AS (SELECT source_row_index, {', '.join(clean(c) for c in ('vaccinated', 'survey_weight', 'motivation_score', 'capability_score',
-    'activation_score', 'observed_threat_proxy', 'structural_barrier_proxy'))} FROM s0),
+    'activation_score', *scores.PROXIES["v4"]))} FROM s0),
 s AS (SELECT *, {HASH.format('source_row_index')} AS h FROM s1 WHERE vaccinated IN (0, 1)),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY vaccinated ORDER BY h, source_row_index) - 1 AS r0,
        count(*) OVER (PARTITION BY vaccinated) AS n0 FROM s),
@@ -84,13 +84,13 @@ def split_scores(spark: SparkSession, d: str) -> DataFrame:
 def profiled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scores with patterns from thresholds of the memory split, and the base rates."""
     s = split_scores(spark, d)
-    p = patterns.assign(s, patterns.fit_thresholds(s.filter("split = 'memory'")))
+    p = patterns.assign(s, durable(patterns.fit_thresholds(s.filter("split = 'memory'"))))
     return p, patterns.base_rates(p.filter("split = 'memory'"))
 
 
 def anchored(spark: SparkSession, d: str) -> DataFrame:
     p, rates = profiled(spark, d)
-    return patterns.anchor(p, rates)
+    return durable(patterns.anchor(p, rates))  # read by every search and metric
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +302,11 @@ def q_band_summary(spark, d):
     return rounded(stats.band_summary(split_scores(spark, d), ["motivation_score", "structural_barrier_proxy"]))
 
 
-@query(f"""WITH {PROF}, l AS (SELECT vaccinated AS y, survey_weight, 'motivation_score' AS score, motivation_score AS x FROM s UNION ALL SELECT vaccinated, survey_weight, 'structural_barrier_proxy', structural_barrier_proxy FROM s),
+DESCRIBED = ["motivation_score", "capability_score", "activation_score", *scores.PROXIES["v4"]]
+_LONG = " UNION ALL ".join(f"SELECT vaccinated AS y, survey_weight, '{c}' AS score, {c} AS x FROM s" for c in DESCRIBED)
+
+
+@query(f"""WITH {PROF}, l AS ({_LONG}),
     k AS (SELECT score, x, y, rank() OVER (PARTITION BY score ORDER BY x) + (count(*) OVER (PARTITION BY score, x) - 1) / 2e0 AS rx,
           rank() OVER (PARTITION BY score ORDER BY y) + (count(*) OVER (PARTITION BY score, y) - 1) / 2e0 AS ry FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
     sp2 AS (SELECT score, corr(rx, ry) AS spearman FROM k GROUP BY score)
@@ -310,7 +314,7 @@ def q_band_summary(spark, d):
     round(quantile_cont(x, 0.25), 6) AS p25, round(median(x), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max, round(corr(x, y), 6) AS pearson,
     round({_WM.format('x')}, 6) AS weighted_mean, round(any_value(spearman), 6) AS spearman FROM l JOIN sp2 USING (score) GROUP BY score""")
 def q_describe(spark, d):
-    return rounded(stats.describe(split_scores(spark, d), ["motivation_score", "structural_barrier_proxy"]))
+    return rounded(stats.describe(split_scores(spark, d), DESCRIBED))
 
 
 # Splits and samples
@@ -532,9 +536,21 @@ def q_wrong_rows(spark, d):
 
 
 @query(f"""WITH {CALLS} SELECT model, count(*) AS n, round(avg(actual), 6) AS rate, round(avg(probability_yes / 100), 6) AS mean_p, round(avg(actual - probability_yes / 100), 6) AS mean_error,
-    round(avg((actual = 0 AND probability_yes >= 50)::INT), 6) AS fp_share, round(avg((actual = 1 AND probability_yes < 50)::INT), 6) AS fn_share FROM ok GROUP BY model""")
+    round(avg((actual = 0 AND probability_yes >= 50)::INT), 6) AS fp_share, round(avg((actual = 1 AND probability_yes < 50)::INT), 6) AS fn_share,
+    round(avg(probability_yes), 6) AS probability_yes_all, round(avg(probability_yes) FILTER (actual = 0 AND probability_yes >= 50), 6) AS probability_yes_fp,
+    round(avg(probability_yes) FILTER (actual = 1 AND probability_yes < 50), 6) AS probability_yes_fn FROM ok GROUP BY model""")
 def q_error_profile(spark, d):
-    return rounded(stats.error_profile(answered(spark, d), "model", "actual", "probability_yes", []))
+    return rounded(stats.error_profile(answered(spark, d), "model", "actual", "probability_yes", ["probability_yes"]))
+
+
+@query()
+def q_ablation(spark, d):
+    """The pattern anchor, the overall rate and a raw score against each other: threshold on calibration, metrics on test."""
+    a = anchored(spark, d)
+    overall = a.filter("split = 'memory'").agg((100 * F.avg("vaccinated")).alias("overall"))
+    a = a.join(F.broadcast(overall)).withColumn("motivation", F.col("motivation_score") * 20)  # one row
+    cal, test = a.filter("split = 'calibration'"), a.filter("split = 'test'")
+    return metrics.ablation(cal, test, "vaccinated", {"pattern_anchor": "anchor_probability", "overall_rate": "overall", "motivation_only": "motivation"}, weight="survey_weight")
 
 
 # Vectors: queries are the rows whose id is divisible by 20

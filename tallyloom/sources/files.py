@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,15 +51,44 @@ def forbid_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def _file(spark: SparkSession, path: str):
+    """Hadoop path and file system of a path on any storage that the session can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(path: str) -> str | None:
+    """A small file as text, None if there is none."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return Path(path).read_text() if Path(path).exists() else None
+    p, fs = _file(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(p) else None
+
+
+def write_text(path: str, text: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def read_manifest(path: str, scenario: str, available: Sequence[str]) -> list[str]:
     """A scenario's columns that exist in the data."""
-    return [c for c in json.loads(Path(path).read_text())[scenario] if c in set(available)]
+    return [c for c in json.loads(read_text(path))[scenario] if c in set(available)]
 
 
 def read_overlay(path: str | None, defaults: Mapping[str, Mapping[str, float]]) -> dict[str, dict[str, float]]:
     """Defaults overlaid by a JSON file; unknown sections raise."""
     out = {k: dict(v) for k, v in defaults.items()}
-    for section, values in (json.loads(Path(path).read_text()) if path else {}).items():
+    for section, values in (json.loads(read_text(path)) if path else {}).items():
         if section not in out:
             raise ValueError(f"unknown section {section}")
         out[section].update(values)
@@ -68,7 +97,7 @@ def read_overlay(path: str | None, defaults: Mapping[str, Mapping[str, float]])
 
 def read_support(path: str, memory: DataFrame, size: int = 8, key: str = "source_row_index", y: str = "actual") -> DataFrame:
     """A balanced support set: ``size`` rows, half of each label, all in memory with that label."""
-    rows = json.loads(Path(path).read_text())
+    rows = json.loads(read_text(path))
     if len(rows) != size or sum(int(r["label"]) for r in rows) * 2 != size:
         raise ValueError(f"a support set has {size} rows, half of each label")
     s = memory.sparkSession.createDataFrame([(int(r[key]), int(r["label"])) for r in rows], f"{key} long, label int")
@@ -79,14 +108,33 @@ def read_support(path: str, memory: DataFrame, size: int = 8, key: str = "source
 
 def write_config(path: str, config: Mapping, overwrite: bool = False) -> str:
     """Store a run's configuration; a folder of another run is refused. Returns the fingerprint."""
-    file, h = Path(path) / "config.json", fingerprint(config)
-    if file.exists() and not overwrite and json.loads(file.read_text()).get("hash") != h:
+    file, h = f"{path}/config.json", fingerprint(config)
+    known = read_text(file)
+    if known and not overwrite and json.loads(known).get("hash") != h:
         raise ValueError(f"{path} holds a run with another configuration")
-    file.parent.mkdir(parents=True, exist_ok=True)
-    file.write_text(json.dumps({"hash": h, "config": dict(config)}, sort_keys=True, indent=1, default=str))
+    write_text(file, json.dumps({"hash": h, "config": dict(config)}, sort_keys=True, indent=1, default=str))
     return h
 
 
+def fit_or_load(path: str, config: Mapping, fit: Callable[[], Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables of a fitted model: stored ones if they were fitted with this configuration.
+
+    A folder of another configuration is refused. The configuration is written last, so a fit that
+    was broken off is done again.
+    """
+    spark, done = SparkSession.getActiveSession(), read_text(f"{path}/config.json")
+    if done:
+        stored = json.loads(done)
+        if stored["hash"] != fingerprint(config):
+            raise ValueError(f"{path} holds a model with another configuration")
+        return {n: spark.read.parquet(f"{path}/{n}") for n in stored["tables"]}
+    tables = fit()
+    for n, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{n}")
+    write_text(f"{path}/config.json", json.dumps({"hash": fingerprint(config), "config": dict(config), "tables": sorted(tables)}, sort_keys=True, default=str))
+    return {n: spark.read.parquet(f"{path}/{n}") for n in tables}
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -164,3 +164,19 @@ def test_quantiles_and_running_sums_against_numpy(spark):
     for r in cumulate(c, ["g"], "x", ["n"], bins=16).collect():
         assert r.n_before == (x[r.g] < r.x).sum()
     assert quantiles(df.filter("g = 'e'"), [], "x", {"m": 0.5}).first().m is None
+
+
+def test_models_are_stored_with_their_configuration(spark, tmp_path):
+    calls = []
+
+    def fit():
+        calls.append(1)
+        return {"weights": spark.range(3), "rates": spark.range(2)}
+
+    path = str(tmp_path / "model")
+    for _ in range(2):
+        got = files.fit_or_load(path, {"epochs": 3}, fit)
+        assert {n: t.count() for n, t in got.items()} == {"weights": 3, "rates": 2}
+    assert len(calls) == 1
+    with pytest.raises(ValueError):
+        files.fit_or_load(path, {"epochs": 4}, fit)
