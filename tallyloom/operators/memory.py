@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.durable import durable
 from tallyloom.functions.recode import clip
 
 
@@ -73,34 +74,42 @@ def _near(a: set, b: set) -> float:
     return 1.0 if not a and not b else len(a & b) / max(1, len(a | b))
 
 
+def _like(tokens: Column, other: list[str]) -> Column:
+    """Jaccard similarity with a kept token set; two empty sets are alike."""
+    if not other:
+        return F.when(F.size(tokens) == 0, 1.0).otherwise(0.0)
+    same = F.size(F.array_intersect(tokens, F.array(*map(F.lit, other))))
+    return same / (F.size(tokens) + len(other) - same)
+
+
 def distill(df: DataFrame, key: str, least_novelty: float = 0.25, per_bucket: int = 2, least_value: float = 0.55, total: int = 32) -> DataFrame:
-    """Greedy novelty selection, best value first.
+    """Greedy novelty selection, best value first, at most ``total`` rules.
 
     ``df``: key, pattern, correction_direction, base_value, tokens. A rule is kept if it differs
     enough from the kept ones of its direction, its (pattern, direction) has room and its value
-    0.85 base + 0.15 novelty is large enough. The result depends on the order of all candidates;
-    candidates are bounded (a reflection pass has at most some hundred), more than ``MOST`` raise.
+    0.85 base + 0.15 novelty is large enough. Any number of candidates: what was kept so far, at most
+    ``total`` rules, goes into an expression, and an aggregate over all candidates behind the last
+    kept one finds the next. Candidates refused once stay refused, as novelty and room only shrink.
+    Null tokens are an empty set; candidates without a value take no part.
     """
-    rows = df.select(key, "pattern", "correction_direction", "base_value", "tokens").orderBy(F.col("base_value").desc(), key).limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} candidates; select candidates before distilling")
-    kept, counts = [], {}
-    for r in rows:
-        t = _set(r["tokens"])
-        novelty = 1 - max((_near(t, k[-1]) for k in kept if k[2] == r["correction_direction"]), default=0.0)
-        bucket = (r["pattern"], r["correction_direction"])
-        value = 0.85 * r["base_value"] + 0.15 * novelty
-        if novelty < least_novelty or counts.get(bucket, 0) >= per_bucket or value < least_value:
-            continue
-        kept.append((r[key], r["pattern"], r["correction_direction"], float(novelty), float(value), t))
-        counts[bucket] = counts.get(bucket, 0) + 1
-        if len(kept) >= total:
+    tokens = F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    rows = durable(df.filter("base_value is not null and not isnan(base_value)").select(key, "pattern", "correction_direction", "base_value", tokens.alias("tokens")))
+    kept: list[dict] = []
+    while len(kept) < total:
+        near = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.col("correction_direction").eqNullSafe(k["correction_direction"]), _like(F.col("tokens"), k["tokens"])).otherwise(0.0) for k in kept])
+        used = sum((((F.col("pattern").eqNullSafe(k["pattern"])) & F.col("correction_direction").eqNullSafe(k["correction_direction"])).cast("int") for k in kept), F.lit(0))
+        behind = F.lit(True)
+        if kept:
+            at = F.lit(kept[-1]["base_value"])
+            behind = (F.col("base_value") < at) | ((F.col("base_value") == at) & (F.col(key) > kept[-1][key]))
+        able = rows.filter(behind).withColumns({"novelty": 1 - near, "used": used}).withColumn("memory_value", 0.85 * F.col("base_value") + 0.15 * F.col("novelty"))
+        able = able.filter((F.col("novelty") >= least_novelty) & (F.col("used") < per_bucket) & (F.col("memory_value") >= least_value))
+        best = able.agg(F.min_by(F.struct(key, "pattern", "correction_direction", "novelty", "memory_value", "base_value", "tokens"), F.struct(-F.col("base_value"), F.col(key))).alias("b")).first()["b"]
+        if best is None:
             break
-    return df.sparkSession.createDataFrame([k[:-1] for k in kept], f"{key} long, pattern string, correction_direction string, novelty double, memory_value double")
-
-
-#: Most candidates of one greedy pass on the driver.
-MOST = 20_000
+        kept.append(best.asDict())
+    out = [(k[key], k["pattern"], k["correction_direction"], float(k["novelty"]), float(k["memory_value"])) for k in kept]
+    return df.sparkSession.createDataFrame(out, f"{key} long, pattern string, correction_direction string, novelty double, memory_value double")
 
 
 def greedy_unique(df: DataFrame, key: str, groups: list[str], value: str, similar: float) -> DataFrame:
@@ -119,13 +128,11 @@ def greedy_unique(df: DataFrame, key: str, groups: list[str], value: str, simila
                 freq[x] = freq.get(x, 0) + 1
         index: dict[str, list[int]] = {}
         kept: list[set] = []
-        empty, out = False, []
+        out = []
         for k, t in zip(pdf[key], pdf["tokens"]):
             s = _set(t)
-            if not s:
-                if not empty:
-                    out.append(k)
-                empty = True
+            if not s:  # nothing in common with any other
+                out.append(k)
                 continue
             order = sorted(s, key=lambda x: (freq[x], x))
             prefix = order[: len(s) - math.ceil(similar * len(s) - 1e-9) + 1]

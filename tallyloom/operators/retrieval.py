@@ -23,18 +23,18 @@ from tallyloom.functions.recode import clip, log_loss
 BLOCK = 20_000
 
 
-def fit_features(df: DataFrame, fit: DataFrame, numbers: Sequence[str], categories: Sequence[str], levels: int = 50) -> DataFrame:
+def fit_features(df: DataFrame, fit: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """Add ``x``: median-imputed, standardised (population sd) numbers and one-hot categories.
 
-    Statistics come from ``fit``. At most ``levels`` codes a category get a column; others, unseen
-    ones included, give zeros. Missing categories take the most frequent code (ties: the smallest).
+    Statistics come from ``fit``. Every code of a category gets a column (codes are few by nature: they
+    are the answers of a question); codes not seen in ``fit`` give zeros. Missing categories take the most frequent code (ties: the smallest).
     """
     s = fit.agg(*[F.median(F.col(c).cast("double")).alias(f"m_{c}") for c in numbers]).first() if numbers else {}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(s[f"m_{c}"] or 0.0))) for c in numbers}
     t = fit.agg(*[F.avg(filled[c]).alias(f"a_{c}") for c in numbers], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in numbers]).first() if numbers else {}
     parts: list[Column] = [(filled[c] - float(t[f"a_{c}"] or 0.0)) / float(t[f"s_{c}"] or 1.0) for c in numbers]
     for c in categories:
-        seen = [r[0] for r in fit.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.col("count").desc(), c).limit(levels).collect()]
+        seen = [r[0] for r in fit.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.col("count").desc(), c).collect()]
         value = F.coalesce(F.col(c), F.lit(seen[0])) if seen else F.col(c)
         parts += [F.when(value == v, 1.0).otherwise(0.0) for v in sorted(seen)]
     return df.withColumn("x", F.array(*parts))

@@ -54,7 +54,7 @@ def test_greedy_unique_against_plain_model(spark):
     kept = []
     for i, _, _, t in sorted(rows, key=lambda r: (-r[2], r[0])):
         s = set(t)
-        if not any((1.0 if not s and not k else len(s & k) / max(1, len(s | k))) >= 0.6 for _, k in kept):
+        if not any(len(s & k) / max(1, len(s | k)) >= 0.6 for _, k in kept):  # empty sets are like no other
             kept.append((i, s))
     assert {r.id for r in memory.greedy_unique(df, "id", ["g"], "v", 0.6).collect()} == {i for i, _ in kept}
     assert memory.greedy_unique(df.filter("false"), "id", ["g"], "v", 0.6).count() == 0
@@ -67,6 +67,27 @@ def test_distill_limits(spark):
     assert [r.id for r in got] == [0, 1] and got[0].novelty == 1.0
 
 
+def test_distill_against_plain_greedy_pass(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), f"p{rng.integers(4)}", "increase" if rng.random() < 0.5 else "decrease", float(np.round(rng.random(), 2)), [f"w{x}" for x in rng.integers(0, 25, rng.integers(0, 7))]) for i in range(400)]
+    kept, counts = [], {}
+    for i, p, d, v, t in sorted(rows, key=lambda r: (-r[3], r[0])):
+        t = set(t)
+        near = max([1.0 if not t and not k[2] else len(t & k[2]) / max(1, len(t | k[2])) for k in kept if k[1] == d], default=0.0)
+        if 1 - near >= 0.25 and counts.get((p, d), 0) < 2 and 0.85 * v + 0.15 * (1 - near) >= 0.55 and len(kept) < 12:
+            kept.append((i, d, t))
+            counts[p, d] = counts.get((p, d), 0) + 1
+    df = spark.createDataFrame(rows, "id long, pattern string, correction_direction string, base_value double, tokens array<string>")
+    assert [r.id for r in memory.distill(df, "id", total=12).collect()] == [k[0] for k in kept]
+    many = spark.range(25_000).select("id", F.lit("p").alias("pattern"), F.lit("increase").alias("correction_direction"), F.lit(0.9).alias("base_value"), F.array(F.concat(F.lit("w"), "id")).alias("tokens"))
+    assert [r.id for r in memory.distill(many, "id").collect()] == [0, 1]
+
+
+def test_every_code_has_a_column(spark):
+    df = spark.createDataFrame([(i, f"c{i}") for i in range(60)], "id long, c string")
+    assert df.sparkSession and all(sum(r.x) == 1.0 and len(r.x) == 60 for r in retrieval.fit_features(df, df, [], ["c"]).collect())
+
+
 def test_residual_candidates_fall_back_to_all(spark):
     df = spark.createDataFrame([(i, 0.1 * (-1) ** i, "p") for i in range(10)], "id long, r double, pat string")
     assert memory.residual_candidates(df, "r", "pat", "id", total=4).count() == 4
