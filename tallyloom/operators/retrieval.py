@@ -2,9 +2,10 @@
 
 The sources (memories, demonstrations) are a small table by construction: a memory has at most a
 few hundred rules. Queries are all rows. The sources are sent to the executors in blocks of
-``BLOCK`` rows and compared with Arrow batches of queries by matrix products; each batch returns
-only its best k, so nothing of the size queries x sources is ever shuffled. Larger source tables
-take the same path in more blocks.
+``BLOCK`` rows and compared with Arrow batches of queries by matrix products of at most ``CELLS``
+cells; a pass over the queries takes as many blocks as ``PASS_BYTES`` hold and returns only the best
+k, so nothing of the size queries x sources is ever shuffled or held. Larger source tables take the
+same path in more passes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from pyspark.sql.window import Window
 from tallyloom.functions.recode import clip, log_loss
 
 BLOCK = 20_000
+#: Similarities that a task holds at once.
+CELLS = 1_000_000
+#: Candidates whose exact similarities a task computes at once.
+PIECE = 100_000
+#: Bytes of sources that are broadcast for a pass over the queries.
+PASS_BYTES = 64_000_000
 
 
 def fit_features(df: DataFrame, fit: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
@@ -56,29 +63,88 @@ def _units(rows) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _score_udf(block, spaces: Sequence[tuple[str, float, bool]], same: float, k: int, least: float, by: str | None, drop_self: bool, decimals: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src = block.value
-        for b in batches:
-            if not len(b):
-                continue
-            sim = np.zeros((len(b), len(src["id"])))
-            for name, weight, shifted in spaces:
-                c = _units(b[name]) @ src[name].T
-                sim += weight * ((c + 1) / 2 if shifted else c)
+def _likely(a: np.ndarray, k: int, least: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells that may be among the k best of their row, and lower bounds of the k-th best values.
+
+    ``least``: lower bounds known before. The k-th largest of the maxima of disjoint groups of cells is
+    a lower bound of the k-th largest cell.
+    """
+    n = a.shape[1]
+    m = n // 64
+    if m >= 2 * k:
+        least = np.maximum(least, -np.partition(-a[:, : 64 * m].reshape(len(a), 64, m).max(1), k - 1, axis=1)[:, k - 1])
+    elif n > k:
+        least = np.maximum(least, -np.partition(-a, k - 1, axis=1)[:, k - 1])
+    i, j = np.divmod(np.flatnonzero(a >= (least - 2 * slack).astype(np.float32)[:, None]), n)
+    return i, j, least
+
+
+def _best(k: int, i: np.ndarray, g: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k best cells of each row i and group g, and their ranks; ties: the smaller id."""
+    order = np.lexsort((own, -value, g, i))
+    i, g, own, value = i[order], g[order], own[order], value[order]
+    at = np.arange(len(i))
+    first = (at == 0) | (i != np.roll(i, 1)) | (g != np.roll(g, 1))
+    rank = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    top = rank <= k
+    return i[top], g[top], own[top], value[top], rank[top]
+
+
+def _score_udf(held, spaces: Sequence[tuple[str, float, bool]], same: float, k: int, least: float, by: str | None, drop_self: bool, decimals: int):
+    """The k best sources of all blocks, of each row: likely ones by single precision, then exact values."""
+    low = 0.0 if same else -1.0
+    factor = [w / 2 if shifted else w for _, w, shifted in spaces]
+    shift = sum((w / 2 for _, w, shifted in spaces if shifted), 0.0)
+
+    def scores(b: dict, i: np.ndarray, src: dict, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for s in range(0, len(i), PIECE):
+            e, f = i[s : s + PIECE], j[s : s + PIECE]
+            sim = np.full(len(e), shift)
+            for (name, _, _), w in zip(spaces, factor):
+                sim += w * np.einsum("ij,ij->i", b[name][e], src[name][f])
             if same:
-                sim += same * (b["pattern"].to_numpy()[:, None] == src["pattern"][None, :])
-            sim = np.round(np.clip(sim, 0.0 if same else -1.0, 1.0), decimals)
-            ids = b["id"].to_numpy()
+                sim += same * (b["code"][e] == src["code"][f])
+            out[s : s + PIECE] = np.round(np.clip(sim, low, 1.0), decimals)
+        return out
+
+    def some(b: dict) -> pd.DataFrame:
+        ids, found, bounds = b["id"], [], {}
+        width = sum(b[name].shape[1] for name, _, _ in spaces)
+        # Single precision is off by at most this; decimals are cut too.
+        slack = (width + 16) * 1.2e-7 * (sum(map(abs, factor)) + abs(shift) + abs(same)) + 10.0**-decimals
+        for src in held.value["blocks"]:
+            approx = np.concatenate([w * b[name] for (name, _, _), w in zip(spaces, factor)], axis=1).astype(np.float32) @ src["all"].T
+            approx += np.float32(shift)
+            if same:
+                for c in np.unique(b["code"]):
+                    if c >= 0:
+                        approx[np.ix_(b["code"] == c, src["code"] == c)] += np.float32(same)
+            np.clip(approx, low, 1.0, out=approx)
             if drop_self:
-                sim[ids[:, None] == src["id"][None, :]] = -np.inf
-            groups = [np.arange(len(src["id"]))] if by is None else [np.flatnonzero(src[by] == g) for g in np.unique(src[by])]
-            for cols in groups:
-                part = sim[:, cols]
-                order = np.lexsort((np.broadcast_to(src["id"][cols], part.shape), -part), axis=1)[:, : min(k, len(cols))]
-                top = np.take_along_axis(part, order, 1)
-                i, j = np.nonzero(top >= least)
-                yield pd.DataFrame({"id": ids[i], "source_id": src["id"][cols[order[i, j]]], "similarity": top[i, j]})
+                approx[ids[:, None] == src["id"][None, :]] = -np.inf
+            for g, cols in src["groups"]:
+                part = approx if cols is None else approx[:, cols]
+                i, j, bounds[g] = _likely(part, k, bounds.get(g, np.full(len(ids), least)), slack)
+                j = j if cols is None else cols[j]
+                value = scores(b, i, src, j)
+                own = src["id"][j]
+                keep = value >= least
+                if drop_self:
+                    keep &= own != ids[i]
+                found.append(_best(k, i[keep], np.full(int(keep.sum()), g), own[keep], value[keep])[:4])
+        i, _, own, value, rank = _best(k, *(np.concatenate(c) for c in zip(*found)))
+        return pd.DataFrame({"id": ids[i], "source_id": own, "similarity": value, "rank": rank.astype(np.int32)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = max(1, CELLS // max(len(src["id"]) for src in held.value["blocks"]))
+        for b in batches:
+            for s in range(0, len(b), rows):
+                part = b.iloc[s : s + rows]
+                piece = {"id": part["id"].to_numpy(), **{n: _units(part[n]) for n, _, _ in spaces}}
+                if same:
+                    piece["code"] = part["pattern"].map(held.value["codes"]).fillna(-1).to_numpy(dtype=np.int64)
+                yield some(piece)
 
     return run
 
@@ -100,24 +166,34 @@ def top_similar(
     for n in names:
         whole = whole & F.col(n).isNotNull()
     src = sources.filter(whole).select("id", *names, *dict.fromkeys(extra))
-    n_blocks = max(1, -(-src.count() // BLOCK))
+    n, width = src.agg(F.count("*"), sum((F.coalesce(F.max(F.size(c)), F.lit(0)) for c in names), F.lit(0))).first()
+    n_blocks = max(1, -(-n // BLOCK))
+    blocks_a_pass = max(1, PASS_BYTES // (12 * BLOCK * max(1, width)))
     q = queries.filter(whole).select("id", *names, *(["pattern"] if same_pattern else []))
     found = []
-    for i in range(n_blocks):
-        part = src.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).toPandas()
-        if not len(part):
-            continue
-        block = {"id": part["id"].to_numpy(), **{n: _units(part[n]) for n in names}, **{e: part[e].to_numpy() for e in extra}}
-        run = _score_udf(spark.sparkContext.broadcast(block), spaces, same_pattern, k, least, by, drop_self, decimals)
-        found.append(q.mapInPandas(run, "id long, source_id long, similarity double"))
+    for first in range(0, n_blocks, blocks_a_pass):
+        blocks, codes, groups = [], {}, {}
+        for i in range(first, min(n_blocks, first + blocks_a_pass)):
+            part = src.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).toPandas()
+            if not len(part):
+                continue
+            block = {"id": part["id"].to_numpy(), **{c: _units(part[c]) for c in names}}
+            block["all"] = np.concatenate([block[c] for c in names], axis=1).astype(np.float32)
+            if same_pattern:  # a null pattern equals no other
+                block["code"] = np.array([-2 if pd.isna(p) else codes.setdefault(p, len(codes)) for p in part["pattern"]])
+            block["groups"] = [(0, None)] if by is None else [(groups.setdefault(g, len(groups)), np.flatnonzero(part[by] == g)) for g in np.unique(part[by])]
+            blocks.append(block)
+        if blocks:
+            run = _score_udf(spark.sparkContext.broadcast({"blocks": blocks, "codes": codes}), spaces, same_pattern, k, least, by, drop_self, decimals)
+            found.append(q.mapInPandas(run, "id long, source_id long, similarity double, rank int"))
     if not found:
         return spark.createDataFrame([], "id long, source_id long, similarity double, rank int")
     out = reduce(DataFrame.unionByName, found)
-    keys = ["id"]
     if by:
         out = out.join(F.broadcast(sources.select(F.col("id").alias("source_id"), by)) if n_blocks == 1 else sources.select(F.col("id").alias("source_id"), by), "source_id")
-        keys.append(by)
-    w = Window.partitionBy(*keys).orderBy(F.col("similarity").desc(), "source_id")
+    if len(found) == 1:  # ranks are those of all sources
+        return out
+    w = Window.partitionBy("id", *([by] if by else [])).orderBy(F.col("similarity").desc(), "source_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

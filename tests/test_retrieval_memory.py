@@ -1,4 +1,8 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
@@ -28,6 +32,34 @@ def test_top_similar_against_brute_force(spark, monkeypatch):
     assert retrieval.top_similar(df, df.filter("false"), [("x", 1.0, False)], 4).count() == 0
 
 
+def test_a_batch_is_not_compared_with_all_sources_at_once(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(4000, 6)), rng.normal(size=(1500, 6))
+    y[7] = y[3]
+    u, v = retrieval._units(list(x)), retrieval._units(list(y))
+    codes = np.arange(len(x)) % 3
+    block = {"id": np.arange(len(x)), "x": u, "all": u.astype(np.float32), "code": codes, "groups": [(0, None)]}
+    held = SimpleNamespace(value={"blocks": [block], "codes": {"p0": 0, "p1": 1, "p2": 2}})
+    run = retrieval._score_udf(held, [("x", 0.9, True)], 0.1, 5, 0.45, None, True, 9)
+    batch = pd.DataFrame({"id": np.arange(len(y)), "x": list(y), "pattern": [f"p{i % 3}" if i % 5 else None for i in range(len(y))]})
+    tracemalloc.start()
+    got = pd.concat(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # all cells take 48 MB in one array
+    own = np.where(np.arange(len(y)) % 5, np.arange(len(y)) % 3, -1)
+    s = np.round(0.9 * (v @ u.T + 1) / 2 + 0.1 * (own[:, None] == codes[None, :]), 9)
+    s[np.arange(len(y)), np.arange(len(y))] = -1
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert (got.sort_values(["id", "rank"])["source_id"].to_numpy().reshape(-1, 5) == want).all()
+
+
+def test_ranks_without_a_shuffle(spark):
+    df, _ = vectors(spark)
+    plan = retrieval.top_similar(df, df, [("x", 1.0, False)], 4)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_zero_vector_has_cosine_zero(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, x array<double>")
     assert {r.similarity for r in retrieval.top_similar(df, df, [("x", 1.0, False)], 1).collect()} == {0.0}
