@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -123,3 +125,26 @@ def test_nodes_that_cannot_be_divided_end(spark):
     x = (np.ones((400, 8)) + 1e-7 * rng.normal(size=(400, 8))).astype(np.float32)
     df = spark.createDataFrame([(i, "m", [float(v) for v in r], "", 0) for i, r in enumerate(x)], SCHEMA)
     assert N.nearest(spark, df, specs(spark), N.Learned(sample=100, rows=16, leaf=32, fan=8)).groupBy("vec_id").count().filter("count = 5").count() == 400
+
+
+def test_groups_shares_and_guests_find_what_one_task_finds(spark, monkeypatch):
+    rows, _ = make(spark, 1500)
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda: sorted((r.vec_id, r.other_id) for r in N.nearest(spark, df, specs(spark), SMALL).collect())
+    one = key()
+    monkeypatch.setattr(N, "GROUP_ROWS", 40)  # below the partitions: each has several shares
+    monkeypatch.setattr(N, "GUESTS", 100)
+    assert key() == one
+
+
+def test_vectors_are_stored_once(spark, tmp_path):
+    # Rows and queries with a vector a partition took more than ten times their table.
+    rows, _ = make(spark, 6000, 64)
+    folder = tmp_path / "t.parquet"
+    spark.createDataFrame(rows, SCHEMA).select("vec_id", "matrix_name", "embedding").write.parquet(str(folder))
+    size = lambda d: sum(f.stat().st_size for f in d.rglob("*") if f.is_file())
+    N.nearest(spark, spark.createDataFrame(rows[:50], SCHEMA), specs(spark, 64)).count()
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = size(shared)
+    N.similar_pairs(spark, spark.read.parquet(str(folder)), specs(spark, 64), N.Learned(rows=128))
+    assert size(shared) - before < 3 * size(folder)
