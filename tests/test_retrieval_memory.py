@@ -1,3 +1,4 @@
+import time
 import tracemalloc
 from types import SimpleNamespace
 
@@ -92,6 +93,39 @@ def test_greedy_unique_against_plain_model(spark):
     assert memory.greedy_unique(df.filter("false"), "id", ["g"], "v", 0.6).count() == 0
 
 
+def test_greedy_unique_of_many_rules_with_shared_words(spark):
+    rng = np.random.default_rng(9)
+    weight = 1 / np.arange(1, 601) ** 0.7
+    sets = [rng.choice(600, 40, replace=False, p=weight / weight.sum()) for _ in range(12_000)]
+    near = [np.r_[s[1:], 700 + i % 9] for i, s in enumerate(sets) if i % 10 == 0]  # less valuable, one word differs
+    rows = [(i, "d", 1.0 if i < len(sets) else 0.5, [f"t{x}" for x in s]) for i, s in enumerate([*sets, *near])]
+    df = spark.createDataFrame(rows, "id long, g string, v double, tokens array<string>").repartition(1)
+    began = time.time()
+    assert [r.id for r in memory.greedy_unique(df, "id", ["g"], "v", 0.7).orderBy("id").collect()] == list(range(len(sets)))
+    assert time.time() - began < 60  # with an index of words: several minutes
+
+
+def test_greedy_unique_of_clusters_and_odd_tokens(spark, monkeypatch):
+    monkeypatch.setattr(memory, "STEP", 50)
+    monkeypatch.setattr(memory, "KEPT", 16)
+    rng = np.random.default_rng(4)
+    heads = [[f"t{k}" for k in rng.integers(0, 40, rng.integers(3, 12))] for _ in range(12)]
+    rows = []
+    for i in range(400):
+        t = heads[int(rng.integers(12))] + [f"t{k}" for k in rng.integers(0, 40, rng.integers(0, 3))]
+        rows.append((i, f"g{i % 2}", float(np.round(rng.random(), 1)) if i % 7 else None, None if i % 50 == 0 else [*t, None] if i % 3 == 0 else t))
+    want = set()
+    for g in ("g0", "g1"):
+        kept = []
+        for i, _, _, t in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
+            s = set(t or ())
+            if not any(s and k and len(s & k) / len(s | k) >= 0.7 for k in kept):
+                kept.append(s)
+                want.add(i)
+    df = spark.createDataFrame(rows, "id long, g string, v double, tokens array<string>")
+    assert {r.id for r in memory.greedy_unique(df, "id", ["g"], "v", 0.7).collect()} == want
+
+
 def test_distill_limits(spark):
     rows = [(i, "p", "increase", 0.9 - i / 100, [f"w{i}", "x"]) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, pattern string, correction_direction string, base_value double, tokens array<string>")
